@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +107,43 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+#: A sieve's size is fixed: 4 MB. Beyond a few million keys it lets more and more rows through, none is lost.
+SIEVE_PARTS, SIEVE_BITS, SIEVE_TASKS = 64, 1 << 19, 8
+
+
+def _sieve_at(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = mix(keys.view(np.uint64))
+    return (x >> np.uint64(58)).astype(np.int64), np.stack([x & np.uint64(SIEVE_BITS - 1), (x >> np.uint64(19)) & np.uint64(SIEVE_BITS - 1)]).astype(np.int64)
+
+
+def _sieve_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        part, at = _sieve_at(batch.column("key").to_numpy())
+        for p in np.unique(part).tolist():
+            held.setdefault(p, np.zeros(SIEVE_BITS, bool))[at[:, part == p].ravel()] = True
+    for p, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+
+def sift(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split rows by a Bloom filter of keys (one bigint column): those that may have a match, and those that have none.
+
+    The rows without a match then need no shuffle for a join with keys.
+    """
+    only = keys.select(F.col(keys.columns[0]).alias("key")).where("key is not null")
+    bits = np.zeros((SIEVE_PARTS, SIEVE_BITS // 8), np.uint8)
+    for r in only.repartition(SIEVE_TASKS, "key").mapInArrow(_sieve_parts, "part int, bits binary").toLocalIterator():
+        bits[r.part] |= np.frombuffer(r.bits, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(k: pd.Series) -> pd.Series:
+        part, at = _sieve_at(k.to_numpy(np.int64, na_value=0))
+        found = shared.value[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+        return pd.Series(found.all(axis=0).astype(bool))
+
+    some = maybe(F.coalesce(F.col(key), F.lit(0)))
+    return rows.where(some), rows.where(~some)

@@ -9,8 +9,11 @@ sequence: with c shingles in the longest common subsequence, c / (n + m - c) has
 leaves at most (n + m) / 9 insertions and deletions, which is the width of the band, so the band loses nothing.
 
 Classes are the components of the verified links between different texts. Within a bucket the members are
-first aligned with its smallest and its largest member; after the components of those links are known,
-members of one bucket that are still in different components are aligned with each other.
+first aligned with its smallest and its largest member. After the components of those links are known, the
+buckets with more than one component are gone through again: all members of different components whose
+count of common labelled shingles allows 0.8 are aligned, until they are linked. Buckets of more than BLOCK
+shingles are cut into blocks for this, and each pair of blocks is a task of its own; no pairs of texts are
+shuffled and nothing is capped.
 
 Defined results: equal texts are always one class; null counts as the empty text; texts without words
 form classes only with their exact copies, and rows that have no text at all stay alone (class_id is their
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHashes, mix, shingles, slices, text_key, write_shared
+from docloom.llm.common import WordHashes, mix, shingles, sift, slices, text_key, write_shared
 from docloom.llm.components import components
 
 WORDS = re.compile(r"\w+")
@@ -36,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 2
 #: Shingles from which the sketches of a text are made one by one, which bounds their memory.
 LONG = 50_000
+#: Shingles of a block of a bucket.
+BLOCK = 400_000
 
 _seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _seeds[::2], _seeds[1::2] | np.uint64(1)
@@ -164,6 +169,49 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def cross_links(table: pa.Table) -> pa.Table:
+    """Links between members of one bucket that are in different components; of two blocks, those between the blocks.
+
+    Common labelled shingles of all pairs are counted by a product of matrices over the shingles that occur twice or more.
+    """
+    tids, comps = table.column("tid").to_pylist(), table.column("comp").to_pylist()
+    seqs = [np.frombuffer(x, np.uint32) for x in table.column("seq").to_pylist()]
+    own, cross = table.column("own").to_numpy(), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+    n = np.array([len(x) for x in seqs])
+    _, ids, times = np.unique(np.concatenate([labelled(x.astype(np.uint64)) for x in seqs]), return_inverse=True, return_counts=True)
+    shared = times[ids] > 1
+    member, ids = np.repeat(np.arange(len(n)), n)[shared], ids[shared]
+    _, ids = np.unique(ids, return_inverse=True)
+    counts = np.zeros((len(n), len(n)), np.float32)
+    order = np.argsort(ids, kind="stable")
+    member, ids = member[order], ids[order]
+    width = max(1, 4_000_000 // len(n))
+    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
+        a, b = np.searchsorted(ids, [lo, lo + width])
+        part = np.zeros((len(n), min(width, int(ids[-1]) + 1 - lo)), np.float32)
+        part[member[a:b], ids[a:b] - lo] = 1
+        counts += part @ part.T
+    need = SIMILARITY * (n[:, None] + n[None, :]) / (1 + SIMILARITY)
+    x, y = np.nonzero(np.triu(counts >= need - 1e-3, 1))
+    group = {c: c for c in comps}
+
+    def top(c):
+        while group[c] != c:
+            group[c] = group[group[c]]
+            c = group[c]
+        return c
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        if cross and own[i] == own[j]:
+            continue
+        p, q = top(comps[i]), top(comps[j])
+        if p != q and similarity(seqs[i], seqs[j]) >= SIMILARITY:
+            group[max(p, q)] = min(p, q)
+            out.append((tids[i], tids[j]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+
 def linked(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of texts that alignment confirms. Only the joins deal out sequences; skewed sides are split by AQE."""
     both = pairs.join(seqs.select(F.col("tid").alias("b"), F.col("seq").alias("seq_b")), "b").join(
@@ -182,21 +230,19 @@ def classes(docs: DataFrame) -> DataFrame:
     first = first.union(buckets.where("tid <> low and tid <> high").select(F.col("tid").alias("a"), F.col("high").alias("b")))
     first = write_shared(first.distinct(), "omh-pairs")
     wanted = buckets.select("tid").distinct()
-    seqs = rows.select("tid", "text").join(wanted, "tid", "left_semi").dropDuplicates(["tid"])
+    short = F.xxhash64("tid")
+    near, _ = sift(rows.select("tid", "text", short.alias("short")), "short", wanted.select(short))
+    seqs = near.select("tid", "text").join(wanted, "tid", "left_semi").dropDuplicates(["tid"])
     seqs = write_shared(seqs.mapInArrow(sequences, "tid binary, seq binary"), "omh-sequences")
     links = write_shared(linked(first, seqs), "omh-links")
     comps = components(links)
     apart = buckets.join(comps, "tid", "left").select("key", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
-    mixed = apart.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("key")
-    apart = write_shared(apart.join(mixed, "key", "left_semi"), "omh-apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    second = (
-        x.join(y, F.expr(f"x.key = y.key and x.tid < y.tid and x.comp <> y.comp and least(x.n, y.n) >= {SIMILARITY} * greatest(x.n, y.n)"))
-        .select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = write_shared(linked(second, seqs), "omh-links")
+    mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    apart = write_shared(apart.join(mixed.where("low < high").select("key", "blocks"), "key"), "omh-apart")
+    own = F.pmod(F.xxhash64("tid"), F.col("blocks"))
+    dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "tid", "comp").join(seqs, "tid")
+    more = write_shared(dealt.groupBy("key", "lo", "hi").applyInArrow(cross_links, "a binary, b binary"), "omh-links")
     if not more.isEmpty():
         comps = components(links.union(more))
     named = rows.select("doc_id", "tid").join(comps, "tid", "left")
