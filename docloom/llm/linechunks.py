@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, slices, write_shared
+from docloom.llm.common import mix, sift, slices, write_shared
 
 FAMILIES, MIN_WORDS, MOST_LINES = 8, 40, 64
 _BASE = 0x9E3779B97F4A7C15
@@ -118,7 +118,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     stay = found.where(first).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("s", "e")).alias("asked"))
     g, a = gone.alias("g"), stay.alias("a")
     asked = g.join(a, same("g", "a"), "full_outer").select(F.coalesce("g.doc_id", "a.doc_id").alias("doc_id"), F.coalesce("g.tid", "a.tid").alias("tid"), "gone", "asked")
-    texts = rows.dropDuplicates(["doc_id", "tid"]) if has_repeats(rows) else rows
+    asked = write_shared(asked, "asked")
+    near, _ = sift(rows, "tid", asked.select("tid"))
+    texts = near.dropDuplicates(["doc_id", "tid"]) if has_repeats(rows.select("doc_id", "tid")) else near
     d, w = texts.alias("d"), asked.alias("w")
     lines = d.join(w, same("d", "w")).select("d.doc_id", "d.tid", "d.text", "w.gone", "w.asked")
     lines = write_shared(
@@ -136,11 +138,13 @@ def has_repeats(rows: DataFrame) -> bool:
 def clean(docs: DataFrame) -> DataFrame:
     """All rows of docs with the column clean (text without repeated passages) and removed_lines (how many went)."""
     gone = write_shared(removed_lines(docs), "removed")
-    d = docs.withColumn("__tid", F.xxhash64("text")).alias("d")
+    some, rest = sift(docs.withColumn("__tid", F.xxhash64("text")), "__tid", gone.select("tid"))
+    d = some.alias("d")
     g = gone.alias("g")
     both = d.join(g, F.expr("cast(d.doc_id as bigint) <=> g.doc_id and d.__tid = g.tid"), "left")
     # the lines that stay, joined again; filter() passes the number of each line
     kept = F.expr("array_join(filter(split(d.text, '\\n', -1), (x, i) -> not array_contains(g.lines, i)), '\\n')")
     text = F.when(F.col("g.lines").isNull(), F.col("d.text")).otherwise(kept)
     text = F.when(F.col("g.lines").isNotNull() & ~text.rlike(r"\S"), F.lit("")).otherwise(text)
-    return both.select(*[F.col(f"d.`{c}`") for c in docs.columns], text.alias("clean"), F.coalesce(F.size("g.lines"), F.lit(0)).alias("removed_lines"))
+    changed = both.select(*[F.col(f"d.`{c}`") for c in docs.columns], text.alias("clean"), F.coalesce(F.size("g.lines"), F.lit(0)).alias("removed_lines"))
+    return changed.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("clean"), F.lit(0).alias("removed_lines")))
