@@ -98,32 +98,34 @@ def partial_counts(pairs: bool):
 
 
 def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the filter from the counts of all their pairs, for several cut-offs at once; the lowest that fits is kept."""
-    parts: dict[int, list] = {}  # for each cut-off 2**t: bits and number of insertions, or None if overfull
+    """Parts of the filter from the counts of all their pairs, for all cut-offs at once; the lowest that fits is kept.
+
+    Each place of a part holds the highest level of the pairs that set it, so the filter for a cut-off is the
+    places above it; a part takes PART bytes while it is built.
+    """
+    slot = np.full(SEGMENTS, -1)
+    tops, added, used = np.zeros((16, PART), np.uint8), np.zeros((SEGMENTS, CUTS + 1), np.int64), 0
     for batch in batches:
         seg, keys, counts = (batch.column(c).to_numpy() for c in ("seg", "h", "c"))
-        order = np.argsort(seg, kind="stable")
-        seg, keys, level = seg[order], keys[order].view(np.uint64), np.floor(np.log2(counts[order])).astype(int) + 1
-        for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1, [len(seg)]])), strict=True):
-            if a == b:
-                continue
-            held = parts.setdefault(int(seg[a]), [[np.zeros(PART, bool), 0] for _ in range(CUTS)])
-            for t in range(CUTS):
-                if held[t] is None:
-                    continue
-                up = level[a:b] > t
-                if not up.any():
-                    break
-                k, q = keys[a:b][up], level[a:b][up]
-                held[t][1] += int(q.sum())
-                if held[t][1] * FILL > PART and t < CUTS - 1:
-                    held[t] = None
-                    continue
-                for j in range(1, int(q.max()) + 1):
-                    held[t][0][positions(k[q >= j], j)] = True
-    for s, held in parts.items():
-        t, (bits, _) = next((t, x) for t, x in enumerate(held) if x is not None)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([1 << t], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["seg", "cut", "bits"])
+        keys, level = keys.view(np.uint64), np.minimum(np.floor(np.log2(counts)).astype(int) + 1, CUTS)
+        new = np.unique(seg[slot[seg] < 0])
+        slot[new] = np.arange(used, used + len(new))
+        used += len(new)
+        if used > len(tops):
+            tops = np.concatenate([tops, np.zeros((max(used, 2 * len(tops)) - len(tops), PART), np.uint8)])
+        np.add.at(added, (seg, level), level)
+        flat = tops.reshape(-1)
+        for q in np.unique(level).tolist():  # upwards: a higher level replaces a lower one
+            mine = level == q
+            base = slot[seg[mine]] * PART
+            for j in range(1, q + 1):
+                at = positions(keys[mine], j) + base
+                flat[at] = np.maximum(flat[at], q)
+    for s in np.flatnonzero(slot >= 0).tolist():
+        above = added[s][::-1].cumsum()[::-1]  # insertions of pairs of at least each level
+        q = next((q for q in range(1, CUTS + 1) if above[q] * FILL <= PART), CUTS)
+        bits = np.packbits(tops[slot[s]] >= q).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([1 << (q - 1)], pa.int32()), pa.array([bits], pa.binary())], ["seg", "cut", "bits"])
 
 
 class Model:
@@ -143,7 +145,7 @@ class Model:
         """Quantised counts of pairs, by probes of level after level."""
         level = np.zeros(len(keys), int)
         left = np.arange(len(keys))
-        for j in range(1, 64):
+        for j in range(1, CUTS + 1):
             k = keys[left]
             at = positions(k, j) + segment_of(k) * PART
             there = ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
