@@ -224,7 +224,7 @@ def train(texts: DataFrame, bits: int = BITS, head: int = HEAD, k: float = K) ->
     order = np.argsort(keys)
     pairs = texts.select("text").mapInArrow(partial_counts(True), "seg int, h bigint, c bigint").repartition("seg").groupBy("seg", "h").agg(F.sum("c").alias("c"))
     filled = np.zeros(BITS // 8, np.uint8)
-    for r in pairs.mapInArrow(build, "seg int, cut int, bits binary").toLocalIterator():
+    for r in write_shared(pairs.mapInArrow(build, "seg int, cut int, bits binary"), "filter").toLocalIterator():
         filled[r.seg * PART // 8 : (r.seg + 1) * PART // 8] = np.frombuffer(r.bits, np.uint8)
     return Model(filled, keys[order], counts[order].astype(np.int64), int(total), int(types), k), words.where(F.col("c") < cut), cut > 1
 

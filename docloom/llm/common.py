@@ -135,7 +135,7 @@ def sift(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFra
     """
     only = keys.select(F.col(keys.columns[0]).alias("key")).where("key is not null")
     bits = np.zeros((SIEVE_PARTS, SIEVE_BITS // 8), np.uint8)
-    for r in only.repartition(SIEVE_TASKS, "key").mapInArrow(_sieve_parts, "part int, bits binary").toLocalIterator():
+    for r in only.repartition(SIEVE_TASKS, "key").mapInArrow(_sieve_parts, "part int, bits binary").collect():  # at most SIEVE_TASKS times the sieve
         bits[r.part] |= np.frombuffer(r.bits, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
