@@ -5,7 +5,7 @@ refers to an equal payload. Blocks over SEGMENT bytes are cut into a first recor
 records, which carry the origin's identifier and their number; the last has the total length. Archives hold
 at most FILE_RECORDS records, so that one fits in a task's memory however long the payloads are.
 
-Reading parses the records of each archive, groups continuation records by the origin's identifier, orders
+Archives are compressed by gzip as whole files. Reading parses the records of each archive, compressed or not, groups continuation records by the origin's identifier, orders
 them by segment number, checks numbers and total length, and decodes the chunked framing. Whole records skip
 the grouping. What fails a check has a note in the column problem and no payload.
 
@@ -15,6 +15,7 @@ a key. Columns beside the key, url and payload are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -105,7 +106,7 @@ def write(pages: DataFrame, key: str, payload: str, path: str) -> str:
     refers = F.when(F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last")), F.col("last"))
     rows = rows.join(last, "digest", "left").select("key", "url", "payload", "digest", refers.alias("refers"))
     out = rows.mapInArrow(make, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     return path
 
 
@@ -136,7 +137,8 @@ def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column("content"):
             rows, size = [], 0
-            for row in parse(data.as_py()):
+            content = data.as_py()
+            for row in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                 rows.append(row)
                 size += len(row[-1])
                 if size > 4_000_000:
