@@ -112,7 +112,9 @@ def packed(length: int, most: int):
 
 def pack(docs: DataFrame, length: int = LENGTH, most: int = OPEN, path: str | None = None) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    tasks = max(1, math.ceil(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / PACK_BYTES))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # Spark takes a size that it cannot know for the largest number
+    tasks = max(1, math.ceil(size / PACK_BYTES)) if known else docs.sparkSession.sparkContext.defaultParallelism
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces(length, path), PIECES)
-    found = found.repartition(min(tasks, 1 << 20), "doc_id").sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
+    found = found.repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "start", "length", "ids_crc32")
     return found.mapInArrow(packed(length, most), f"{PIECES}, sequence_id bigint, offset bigint")
