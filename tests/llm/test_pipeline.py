@@ -8,7 +8,7 @@ def test_stages_over_a_small_corpus(spark, tmp_path):
 
     r = random.Random(1)
     rows, labels = [], []
-    item = prose(99, 30)
+    item = prose(9999, 30)
     for i in range(160):
         w = prose(i, 60).split()
         if i % 8 == 0:
