@@ -110,12 +110,14 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 #: A sieve's size is fixed: 4 MB. Beyond a few million keys it lets more and more rows through, none is lost.
-SIEVE_PARTS, SIEVE_BITS, SIEVE_TASKS = 64, 1 << 19, 8
+SIEVE_PARTS, SIEVE_BITS = 64, 1 << 19
 
 
 def _sieve_at(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(keys.view(np.uint64))
-    return (x >> np.uint64(58)).astype(np.int64), np.stack([x & np.uint64(SIEVE_BITS - 1), (x >> np.uint64(19)) & np.uint64(SIEVE_BITS - 1)]).astype(np.int64)
+    """Part (the top six bits) and places in it of hashed keys."""
+    x = keys.view(np.uint64)
+    y = mix(x)
+    return (x >> np.uint64(58)).astype(np.int64), np.stack([y & np.uint64(SIEVE_BITS - 1), (y >> np.uint64(19)) & np.uint64(SIEVE_BITS - 1)]).astype(np.int64)
 
 
 def _sieve_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +135,10 @@ def sift(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFra
 
     The rows without a match then need no shuffle for a join with keys.
     """
-    only = keys.select(F.col(keys.columns[0]).alias("key")).where("key is not null")
+    only = keys.where(F.col(keys.columns[0]).isNotNull()).select(F.xxhash64(keys.columns[0]).alias("key"))
     bits = np.zeros((SIEVE_PARTS, SIEVE_BITS // 8), np.uint8)
-    for r in only.repartition(SIEVE_TASKS, "key").mapInArrow(_sieve_parts, "part int, bits binary").collect():  # at most SIEVE_TASKS times the sieve
+    dealt = only.repartition(SIEVE_PARTS, F.shiftrightunsigned("key", 58))  # a part comes from one task: the sieve is all that is collected
+    for r in dealt.mapInArrow(_sieve_parts, "part int, bits binary").collect():
         bits[r.part] |= np.frombuffer(r.bits, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -145,5 +148,5 @@ def sift(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFra
         found = shared.value[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
         return pd.Series(found.all(axis=0).astype(bool))
 
-    some = maybe(F.coalesce(F.col(key), F.lit(0)))
+    some = maybe(F.xxhash64(F.coalesce(F.col(key), F.lit(0).cast("long"))))
     return rows.where(some), rows.where(~some)
