@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed, text
 from docloom.functions.text import sql_literal as lit
-from docloom.operators import clinical, hashing, pii, quality, relevance, similarity, templates, timeline
+from docloom.operators import clinical, hashing, pii, quality, relevance, reports, similarity, templates, timeline
 from docloom.plans import compression
 from docloom.sources import files, sinks
 
@@ -516,3 +516,91 @@ def compression_documents(spark, sf_dir):
 @query()
 def compression_totals(spark, sf_dir):
     return compression.totals(compression.run(table(spark, sf_dir, "documents")))
+
+
+# records of reports
+
+REPORT_SQL = r"""(select p_partkey doc_id, case p_size % 4
+ when 0 then 'Radiology MRI of the ' || case p_partkey % 3 when 0 then 'knee' when 1 then 'hip' else 'brain' end || chr(10) || 'Impression: mass measuring ' || p_size::varchar || ' mm' || chr(10) || 'DOB: 01/02/1980 seen'
+ when 1 then 'Biopsy' || chr(10) || 'Specimen: skin number ' || p_partkey::varchar || chr(10) || 'Final Diagnosis: melanoma in situ' || chr(10) || 'PTNM: T' || (p_size % 5)::varchar || chr(10) || 'Margins: ' || case p_partkey % 3 when 0 then 'clear' when 1 then 'involved' else 'close' end
+ when 2 then 'Discharge instructions BP: 1' || (10 + p_size)::varchar || '/80 HR 7' || (p_partkey % 10)::varchar || ' Temp: 98.6 F Weight: 180 lb Pain: ' || (p_partkey % 14)::varchar || '/10'
+ else 'Lab panel WBC 7.5 on 3/' || (1 + p_partkey % 28)::varchar || '/2024' end as text from part)"""
+
+
+def report_notes(spark, sf_dir):
+    """A report for each part."""
+    s, k = F.col("p_size"), F.col("p_partkey")
+    pick = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
+    join = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    body = (
+        F.when(s % 4 == 0, join("Radiology MRI of the ", pick("knee", "hip", "brain"), "\nImpression: mass measuring ", s, " mm\nDOB: 01/02/1980 seen"))
+        .when(s % 4 == 1, join("Biopsy\nSpecimen: skin number ", k, "\nFinal Diagnosis: melanoma in situ\nPTNM: T", s % 5, "\nMargins: ", pick("clear", "involved", "close")))
+        .when(s % 4 == 2, join("Discharge instructions BP: 1", s + 10, "/80 HR 7", k % 10, " Temp: 98.6 F Weight: 180 lb Pain: ", k % 14, "/10"))
+        .otherwise(join("Lab panel WBC 7.5 on 3/", k % 28 + 1, "/2024"))
+    )
+    return table(spark, sf_dir, "part").select(k.alias("doc_id"), body.alias("text"))
+
+
+def first(pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract(text, {lit(pattern)}, {group}), '')"
+
+
+@query(
+    f"select doc_id, case when regexp_matches(text, {lit(fixed.REPORT_LAB)}) and regexp_matches(text, {lit('(?i)' + '|'.join(fixed.REPORT_TESTS))}) then 'lab_report' else "
+    f"{case(fixed.REPORT_CLASSES, 'text', 'unknown')} end report_class from {REPORT_SQL}"
+)
+def report_class(spark, sf_dir):
+    return reports.classes(report_notes(spark, sf_dir))
+
+
+@query(f"select doc_id, {first(fixed.RECORD_DATES[0], 0)} report_date from (select doc_id, regexp_replace(text, 'DOB: [0-9/]+', '') as text from {REPORT_SQL})")
+def report_dates(spark, sf_dir):
+    return reports.dates(report_notes(spark, sf_dir))
+
+
+@query(f"""
+with x as (select doc_id, {case(fixed.REPORT_MODALITIES, 'text', 'other')} modality, coalesce({', '.join(map(first, fixed.BODY_PARTS))}, 'unspecified') body_part,
+ list_filter(list_transform(list_concat(regexp_extract_all(text, {lit('(?i)(?:Findings?|Impression|Conclusion)[:' + chr(92) + 's]*([^' + chr(92) + 'n]+)')}, 1),
+ {', '.join(f'regexp_extract_all(text, {lit(p)}, 1)' for p in fixed.FINDINGS[1:2])}, {f'regexp_extract_all(text, {lit(fixed.FINDINGS[2])}, 1)'}), lambda f: trim(f)), lambda f: length(f) > 10) f,
+ {first(fixed.IMPRESSION + '[:' + chr(92) + 's]*([^' + chr(92) + 'n]+)')} impression from {REPORT_SQL})
+select doc_id, modality, body_part, array_to_string(f[1:10], ';') findings, impression from x where len(f) > 0 or impression is not null""")
+def report_imaging(spark, sf_dir):
+    return reports.imaging(report_notes(spark, sf_dir)).withColumn("findings", F.array_join("findings", ";"))
+
+
+@query(f"""
+with x as (select doc_id, {', '.join(f'{first(p, g)}::double as {name}' for name, p, g in fixed.REPORT_VITALS)}, {first(fixed.REPORT_VITALS[4][1], 2)} tu, {first(fixed.REPORT_VITALS[6][1], 2)} wu from {REPORT_SQL})
+select * exclude (tu, wu, pain), case when pain <= 10 then pain end pain, case when temperature is not null then case when lower(tu) like '%c%' then 'C' else 'F' end end temperature_unit,
+ case when weight is not null then case when lower(wu) like 'k%' then 'kg' else 'lb' end end weight_unit from x
+where coalesce({', '.join(name for name, _, _ in fixed.REPORT_VITALS)}) is not null""")
+def report_vitals(spark, sf_dir):
+    return reports.vital_signs(report_notes(spark, sf_dir))
+
+
+@query(f"""
+select doc_id, coalesce({first(fixed.PATHOLOGY['specimen_type'])}, 'unspecified') specimen_type, {first(fixed.PATHOLOGY_DIAGNOSIS + '[:' + chr(92) + 's]*([^' + chr(92) + 'n]+)')} diagnosis,
+ {first(fixed.PATHOLOGY['grade'])} grade, {first(fixed.PATHOLOGY['stage'])} stage,
+ case lower({first(fixed.PATHOLOGY['margins'])}) {' '.join(f"when {lit(k)} then {lit(v)}" for k, v in fixed.MARGINS.items())} end margins
+from {REPORT_SQL} where regexp_matches(text, {lit(fixed.PATHOLOGY_DIAGNOSIS)})""")
+def report_pathology(spark, sf_dir):
+    return reports.pathology(report_notes(spark, sf_dir))
+
+
+# vectors
+
+
+@query("""
+select a.vec_id a, b.vec_id b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))), 6) distance
+from embeddings a join embeddings b on a.label = b.label and b.vec_id = a.vec_id + 10""")
+def euclidean_distances(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    both = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")).join(v.select((F.col("vec_id") - 10).alias("a"), F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), ["a", "label"])
+    return both.select("a", "b", F.round(similarity.euclidean(F.col("x"), F.col("y")), 6).alias("distance"))
+
+
+@query(f"""
+with recursive e as (select a, b from {COS_SQL} where similarity >= 0.4 union all select b, a from {COS_SQL} where similarity >= 0.4),
+r(n, m) as (select vec_id, vec_id from embeddings union select e.a, r.m from r join e on r.n = e.b), c as (select n, min(m) c from r group by n), g as (select c, count(*) k from c group by c)
+select sum(k)::bigint as total, count(*) as unique_rows, count(*) filter (where k = 1) singletons, (sum(k) - count(*))::bigint removed, round((sum(k) - count(*)) / sum(k)::double, 6) reduction from g""")
+def dedup_stats(spark, sf_dir):
+    return similarity.statistics(similarity_clusters(spark, sf_dir)).withColumn("reduction", F.round("reduction", 6))

@@ -57,6 +57,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+def euclidean(a: Column, b: Column) -> Column:
+    """Euclidean distance of two arrays; null where their lengths differ."""
+    squares = F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))
+    return F.when(F.size(a) == F.size(b), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
+
+
+def statistics(found: DataFrame) -> DataFrame:
+    """Of a table with the column cluster: total, unique_rows (clusters), singletons, removed, reduction (0 for no rows)."""
+    sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"))
+    total, n = F.coalesce(F.sum("k"), F.lit(0)), F.count(F.lit(1))
+    return sizes.agg(total.alias("total"), n.alias("unique_rows"), F.count_if(F.col("k") == 1).alias("singletons"), (total - n).alias("removed"), F.coalesce(F.try_divide(total - n, total), F.lit(0.0)).alias("reduction"))
+
+
 def cosine_pairs(vectors: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs a < b of vectors with a cosine of least or more and how they are related.
 

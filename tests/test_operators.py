@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from docloom import catalog
 from docloom.functions import text
-from docloom.operators import clinical, pii, quality, similarity, timeline
+from docloom.operators import clinical, pii, quality, reports, similarity, timeline
 from docloom.sources import files, sinks
 
 DIR = "/root/testdata/sf0.001"
-FAST = ["ocr_quality_gate", "doc_stats", "content_hash", "exact_duplicates", "pii_counts_by_type", "template_strip_lite", "jaccard_pairs", "cosine_pairs", "similarity_clusters", "lab_trends", "timeline_order", "relevance_score", "file_validation"]
+FAST = ["ocr_quality_gate", "doc_stats", "content_hash", "exact_duplicates", "pii_counts_by_type", "template_strip_lite", "jaccard_pairs", "cosine_pairs", "similarity_clusters", "lab_trends", "timeline_order", "relevance_score", "file_validation", "report_class", "report_dates", "report_imaging", "report_vitals", "report_pathology", "euclidean_distances", "dedup_stats"]
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +100,32 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_records_of_reports(spark):
+    texts = [
+        "DOB: 01/02/1980\nCT scan of the chest 3/4/2021\nFindings: nodule seen by Dr. Jane Roe in the left lung\nupper part of it\nIMPRESSION: call 555-010-0001 about the nodule",
+        "Biopsy\nDiagnosis: Carcinoma of skin\nwell differentiated\nNOTE: none\nMargins: Free",
+        "Weight 80 kg, Temp 37.5 C, pain 12", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert [r.report_class for r in reports.classes(df).orderBy("doc_id").collect()] == ["imaging", "pathology", "unknown", "unknown"]
+    assert [r.report_date for r in reports.dates(df).orderBy("doc_id").collect()] == [None, None, None, None]
+    far = df.where("doc_id = 0").withColumn("text", F.regexp_replace("text", "\n", " " * 101))
+    assert reports.dates(far).first().report_date == "3/4/2021"
+    assert reports.dates(df.withColumn("filename", F.lit("note 5-6-2020.txt"))).first().report_date == "5-6-2020"
+    i = reports.imaging(df).orderBy("doc_id").first()
+    assert (i.modality, i.body_part, i.impression) == ("ct", "chest", "call [PHONE] about the nodule")
+    assert i.findings[0] == "nodule seen by [NAME] in the left lung\nupper part of it"
+    p = reports.pathology(df).collect()
+    assert [(r.specimen_type, r.diagnosis, r.margins) for r in p] == [("unspecified", "Carcinoma of skin\nwell differentiated", "negative")]
+    v = reports.vital_signs(df).collect()
+    assert [(r.weight, r.weight_unit, r.temperature, r.temperature_unit, r.pain) for r in v] == [(80.0, "kg", 37.5, "C", None)]
+
+
+def test_distance_and_statistics(spark):
+    df = spark.createDataFrame([([0.0, 3.0], [4.0, 0.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    assert [r.d for r in df.select(similarity.euclidean(F.col("a"), F.col("b")).alias("d")).collect()] == [5.0, None]
+    found = spark.createDataFrame([(1,), (1,), (2,)], "cluster int")
+    assert tuple(similarity.statistics(found).first()) == (3, 2, 1, 1, 1 / 3)
+    assert tuple(similarity.statistics(found.where("false")).first()) == (0, 0, 0, 0, 0.0)
