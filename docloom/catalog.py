@@ -472,6 +472,19 @@ def timeline_summary(spark, sf_dir):
     return timeline.summary(timeline.events(notes(spark, sf_dir)))
 
 
+PATIENT_SQL = EVENT_SQL + ", y as (select doc_id // 10 patient, *, row_number() over (partition by doc_id order by idx, \"date\", type) - 1 n from ev)"
+
+
+@query(PATIENT_SQL + """
+select patient, 1 as section, "date", doc_id, idx, concat_ws(chr(10), '  - id: ' || doc_id || '-' || type || '-' || n, '    date: ' || strftime("date", '%Y-%m-%d'), '    type: ' || type, '    source: ' || doc_id, '    confidence: ' || confidence) yaml from y
+union all
+select patient, 0, min("date"), min(doc_id), -1, concat_ws(chr(10), 'patient:', '  id: ' || patient, '', 'dateRange:', '  start: ' || strftime(min("date"), '%Y-%m-%d'), '  end: ' || strftime(max("date"), '%Y-%m-%d'),
+  '  durationDays: ' || date_diff('day', min("date"), max("date")), '', 'totalDocuments: ' || count(distinct doc_id), 'totalEvents: ' || count(*), 'estimatedBytes: ' || (count(*) * 200 + 1024), '', 'timeline:') from y group by patient""")
+def yaml_timeline(spark, sf_dir):
+    found = timeline.events(notes(spark, sf_dir)).withColumn("patient", F.expr("doc_id div 10"))
+    return sinks.yaml_timeline(found, "patient")
+
+
 # files and documents
 
 

@@ -1,8 +1,8 @@
-"""Markdown documents and keyed tables."""
+"""Markdown documents, YAML timelines and keyed tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.quality import clean_stutter
@@ -30,3 +30,37 @@ def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def write_markdown(docs: DataFrame, path: str) -> None:
     """Write the column markdown as text files."""
     docs.select("markdown").write.text(path, lineSep="\n\n")
+
+
+def yaml_scalar(col: Column) -> Column:
+    """A string as YAML has it: in quotes if it holds signs with a meaning there."""
+    special = col.rlike(r"[:#\[\]{}|>*&!%@`]")
+    return F.when(special, F.concat(F.lit('"'), F.regexp_replace(col, '"', '\\\\"'), F.lit('"'))).otherwise(col)
+
+
+def yaml_size(events: Column) -> Column:
+    """Estimated bytes of a YAML timeline of so many events: 200 for each and 1024."""
+    return events * 200 + 1024
+
+
+def yaml_timeline(found: DataFrame, key: str) -> DataFrame:
+    """Events (key, doc_id, idx, type, confidence, date) as blocks of one YAML document for each key.
+
+    A row for each block: key, section (0: head, with the first date and doc_id; 1: an event), date, doc_id, idx, yaml. Blocks joined by line ends in
+    the order of these columns are the document; no key's events are gathered in one value, however many there are. Where documents share an id, the numbers of their events run on, by place, date and type.
+    """
+    nth = F.row_number().over(Window.partitionBy(key, "doc_id").orderBy("idx", "date", "type")) - 1
+    entry = F.concat_ws(
+        "\n", F.concat(F.lit("  - id: "), F.concat_ws("-", "doc_id", "type", nth)), F.concat(F.lit("    date: "), F.date_format("date", "yyyy-MM-dd")), F.concat(F.lit("    type: "), "type"),
+        F.concat(F.lit("    source: "), yaml_scalar(F.col("doc_id").cast("string"))), F.concat(F.lit("    confidence: "), "confidence"),
+    )
+    events = found.select(key, F.lit(1).alias("section"), "date", "doc_id", "idx", entry.alias("yaml"))
+    n, first, last = F.count(F.lit(1)), F.min("date"), F.max("date")
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"))
+    head = F.concat_ws(
+        "\n", F.lit("patient:"), F.concat(F.lit("  id: "), yaml_scalar(F.first(F.col(key).cast("string")))), F.lit(""), F.lit("dateRange:"), line("  start", first), line("  end", last),
+        line("  durationDays", F.datediff(last, first)), F.lit(""), line("totalDocuments", F.count_distinct("doc_id")), line("totalEvents", n), line("estimatedBytes", yaml_size(n)), F.lit(""), F.lit("timeline:"),
+    )
+    heads = found.groupBy(key).agg(head.alias("yaml"), first.alias("date"), F.min("doc_id").alias("doc_id"))
+    heads = heads.select(key, F.lit(0).alias("section"), "date", "doc_id", F.lit(-1).alias("idx"), "yaml")
+    return heads.unionByName(events)

@@ -12,7 +12,7 @@ from docloom.operators import clinical, pii, quality, reports, similarity, timel
 from docloom.sources import files, sinks
 
 DIR = "/root/testdata/sf0.001"
-FAST = ["ocr_quality_gate", "doc_stats", "content_hash", "exact_duplicates", "pii_counts_by_type", "template_strip_lite", "jaccard_pairs", "cosine_pairs", "similarity_clusters", "lab_trends", "timeline_order", "relevance_score", "file_validation", "report_class", "report_dates", "report_imaging", "report_vitals", "report_pathology", "euclidean_distances", "dedup_stats"]
+FAST = ["ocr_quality_gate", "doc_stats", "content_hash", "exact_duplicates", "pii_counts_by_type", "template_strip_lite", "jaccard_pairs", "cosine_pairs", "similarity_clusters", "lab_trends", "timeline_order", "relevance_score", "file_validation", "report_class", "report_dates", "report_imaging", "report_vitals", "report_pathology", "euclidean_distances", "dedup_stats", "yaml_timeline"]
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +129,9 @@ def test_distance_and_statistics(spark):
     found = spark.createDataFrame([(1,), (1,), (2,)], "cluster int")
     assert tuple(similarity.statistics(found).first()) == (3, 2, 1, 1, 1 / 3)
     assert tuple(similarity.statistics(found.where("false")).first()) == (0, 0, 0, 0, 0.0)
+
+
+def test_yaml_scalars(spark):
+    df = spark.createDataFrame([("plain",), ('a: "b"',), (None,)], "s string")
+    assert [r.y for r in df.select(sinks.yaml_scalar(F.col("s")).alias("y")).collect()] == ["plain", '"a: \\"b\\""', None]
+    assert spark.range(1).select(sinks.yaml_size(F.lit(3)).alias("n")).first().n == 1624
