@@ -2,14 +2,15 @@
 
 Word-pair counts over all training texts are quantised to powers of two; a pair of level q stands in the
 filter q times, once for each level up to its own, and its count is found by probing level after level
-until one is missing. The filter has BITS bits at most, whatever the corpus: it is made of SEGMENTS
-parts, each built by the task that holds the counts of its pairs, and where a part would be overfull the
-rarest pairs stay out of it, as with the count cut-offs of other models. It is broadcast to the workers.
+until one is missing. The filter is made of parts, each with FILL bits for each level of the pairs in it, and the
+number of parts follows the training tokens: nothing is left out, and the filter grows with the pairs.
 
 A pair's probability is (c(v, w) + K p(w)) / (c(v) + K), with p(w) = (c(w) + 1) / (N + V + 1) from exact
-counts of words. Exact counts are broadcast for the HEAD most frequent words; other words of a text are counted
-by a join, so base_score is exact for vocabularies of any size. After a word outside the head c(v) is taken
-as 1, and before one the pair counts as unseen.
+counts of words. There are two ways to the same scores. Where the words fit in HEAD and the filter in BITS, both
+are broadcast. Otherwise the counts of the HEAD most frequent words and the levels of the pairs that make up
+a HOT-th of the tokens or more each are broadcast, and the texts' other pairs go to the part of the
+filter that they belong to, after a join with the counts of the words outside the head; the parts of the sums
+come back by row.
 
 Defined results: null and empty texts have one token, the end; rows repeat as they come; a null doc_id is a
 training row with remainder 0. With no training tokens all counts are 0. Other columns are ignored.
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from docloom.llm.common import WordHashes, crc_mod, mix, slices, write_shared
 
 BITS, SEGMENTS, PROBES, FILL = 1 << 28, 4096, 3, 6
-HEAD, K = 1 << 21, 1000.0
+HEAD, HOT, K = 1 << 21, 1 << 20, 1000.0
+#: Training tokens for each part of the filter; SEGMENTS parts at least.
+PER_PART = 16384
 END, START = b"\0end", np.uint64(0x5851F42D4C957F2D)
-PART = BITS // SEGMENTS
-CUTS = 24
+LEVELS = 62
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,15 +48,34 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(before * _STEP + word)
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(52)).astype(np.int64)
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    """The part of a key: its top bits; segments is a power of two."""
+    return (keys >> np.uint64(65 - segments.bit_length())).astype(np.int64)
 
 
-def positions(keys: np.ndarray, level: int) -> np.ndarray:
-    """PROBES places in the key's part of the filter, a row for each."""
+def positions(keys: np.ndarray, level: int, size) -> np.ndarray:
+    """PROBES places in the key's part of the filter, a row for each; size: bits of the part, or of each key's part."""
     with np.errstate(over="ignore"):
         x = mix(keys + np.uint64(level) * _STEP)
-    return np.stack([(x >> np.uint64(20 * i)) & np.uint64(PART - 1) for i in range(PROBES)]).astype(np.int64)
+    return np.stack([((x >> np.uint64(21 * i)) & np.uint64((1 << 21) - 1)).astype(np.int64) * size >> 21 for i in range(PROBES)])
+
+
+def levels(keys: np.ndarray, bits: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Levels of keys whose parts start at, and have, so many bits, by probes of level after level."""
+    level = np.zeros(len(keys), np.int64)
+    left = np.flatnonzero(size > 0)
+    for j in range(1, LEVELS + 1):
+        at = positions(keys[left], j, size[left]) + start[left]
+        left = left[((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)]
+        if not len(left):
+            break
+        level[left] = j
+    return level
+
+
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The count that stands for a level."""
+    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0**level / np.sqrt(2)))
 
 
 def hashed(column: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +91,7 @@ def befores(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def partial_counts(pairs: bool):
+def partial_counts(pairs: bool, segments: int = SEGMENTS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
 
@@ -79,7 +100,7 @@ def partial_counts(pairs: bool):
             held.clear()
             for i in range(0, len(keys), 500_000):
                 k = keys[i : i + 500_000]
-                columns = [pa.array(segment_of(k).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(counts[i : i + 500_000].astype(np.int64))]
+                columns = [pa.array(segment_of(k, segments).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(counts[i : i + 500_000].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["seg", "h", "c"])
 
         for batch in batches:
@@ -97,42 +118,68 @@ def partial_counts(pairs: bool):
     return run
 
 
-def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the filter from the counts of all their pairs, for all cut-offs at once; the lowest that fits is kept.
-
-    Each place of a part holds the highest level of the pairs that set it, so the filter for a cut-off is the
-    places above it; a part takes PART bytes while it is built.
-    """
-    slot = np.full(SEGMENTS, -1)
-    tops, added, used = np.zeros((16, PART), np.uint8), np.zeros((SEGMENTS, CUTS + 1), np.int64), 0
-    for batch in batches:
-        seg, keys, counts = (batch.column(c).to_numpy() for c in ("seg", "h", "c"))
-        keys, level = keys.view(np.uint64), np.minimum(np.floor(np.log2(counts)).astype(int) + 1, CUTS)
-        new = np.unique(seg[slot[seg] < 0])
-        slot[new] = np.arange(used, used + len(new))
-        used += len(new)
-        if used > len(tops):
-            tops = np.concatenate([tops, np.zeros((max(used, 2 * len(tops)) - len(tops), PART), np.uint8)])
-        np.add.at(added, (seg, level), level)
-        flat = tops.reshape(-1)
-        for q in np.unique(level).tolist():  # upwards: a higher level replaces a lower one
-            mine = level == q
-            base = slot[seg[mine]] * PART
-            for j in range(1, q + 1):
-                at = positions(keys[mine], j) + base
-                flat[at] = np.maximum(flat[at], q)
-    for s in np.flatnonzero(slot >= 0).tolist():
-        above = added[s][::-1].cumsum()[::-1]  # insertions of pairs of at least each level
-        q = next((q for q in range(1, CUTS + 1) if above[q] * FILL <= PART), CUTS)
-        bits = np.packbits(tops[slot[s]] >= q).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([1 << (q - 1)], pa.int32()), pa.array([bits], pa.binary())], ["seg", "cut", "bits"])
+def part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits of a part that holds all these pairs."""
+    level = np.minimum(np.floor(np.log2(counts)).astype(int) + 1, LEVELS)
+    bits = np.zeros(max(64, -(-int(level.sum()) * FILL // 8) * 8), bool)
+    for j in range(1, int(level.max()) + 1):
+        bits[positions(keys[level >= j], j, len(bits))] = True
+    return np.packbits(bits)
 
 
-class Model:
-    """What the workers get: the filter, the head's counts and the totals."""
+def build(often: int):
+    """Parts of the filter from the counts of their pairs, which come part by part, with the levels of pairs of a count of often or more."""
+
+    def one(seg: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        bits = part(keys, counts)
+        hot = keys[counts >= often]
+        level = levels(hot, bits, np.zeros(len(hot), np.int64), np.full(len(hot), 8 * len(bits)))
+        columns = [pa.array([seg], pa.int32()), pa.array([8 * len(bits)], pa.int64()), pa.array([bits.tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PARTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, []
+        for batch in batches:
+            seg, keys, counts = (batch.column(c).to_numpy() for c in ("seg", "h", "c"))
+            bounds = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
+            for lo, hi in zip(bounds, bounds[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and seg[lo] != now:
+                    yield one(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held = []
+                now = int(seg[lo])
+                held.append((keys[lo:hi].view(np.uint64), counts[lo:hi]))
+        if held:
+            yield one(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
 
-    def __init__(self, bits: np.ndarray, keys: np.ndarray, counts: np.ndarray, total: int, types: int, k: float = K):
-        self.bits, self.keys, self.counts, self.total, self.types, self.k = bits, keys, counts, total, types, k
+PARTS = "seg int, size bigint, bits binary, hot binary, level binary"
+
+
+class Model:
+    """What the workers get: the head's counts, the totals, and the filter or, where it is not broadcast, the levels of frequent pairs."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, types: int, k: float, segments: int):
+        self.keys, self.counts, self.total, self.types, self.k, self.segments = keys, counts, total, types, k, segments
+        self.bits = self.start = self.size = self.hot = self.level = None
+
+    def take_filter(self, parts: DataFrame) -> None:
+        rows = [(r.seg, r.bits) for r in parts.select("seg", "bits").toLocalIterator()]
+        self.start, self.size = np.zeros(self.segments, np.int64), np.zeros(self.segments, np.int64)
+        at = 0
+        for seg, bits in rows:
+            self.start[seg], self.size[seg] = at, 8 * len(bits)
+            at += 8 * len(bits)
+        self.bits = np.frombuffer(b"".join(bits for _, bits in rows), np.uint8)
+
+    def take_hot(self, parts: DataFrame) -> None:
+        rows = [(r.hot, r.level) for r in parts.where("length(level) > 0").select("hot", "level").toLocalIterator()]
+        hot, level = np.frombuffer(b"".join(x for x, _ in rows), np.uint64), np.frombuffer(b"".join(x for _, x in rows), np.uint8)
+        order = np.argsort(hot)
+        self.hot, self.level = hot[order], level[order]
 
     def word_counts(self, h: np.ndarray) -> np.ndarray:
         """Counts of words; -1 outside the head."""
@@ -142,109 +189,196 @@ class Model:
         return np.where(self.keys[at] == h, self.counts[at], -1)
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts of pairs, by probes of level after level."""
-        level = np.zeros(len(keys), int)
-        left = np.arange(len(keys))
-        for j in range(1, CUTS + 1):
-            k = keys[left]
-            at = positions(k, j) + segment_of(k) * PART
-            there = ((self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-            left = left[there]
-            if not len(left):
-                break
-            level[left] = j
-        return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0**level / np.sqrt(2)))
+        """Quantised counts of pairs, from the filter."""
+        seg = segment_of(keys, self.segments)
+        return count_of(levels(keys, self.bits, self.start[seg], self.size[seg]))
 
+    def hot_levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of frequent pairs; -1 for others."""
+        if not len(self.hot):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
+        return np.where(self.hot[at] == keys, self.level[at].astype(np.int64), -1)
 
-def scorer(shared, tail: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def lone(self, count: np.ndarray) -> np.ndarray:
+        """Logarithm of p(w)."""
+        return np.log10((count + 1) / (self.total + self.types + 1.0))
 
+    def pair_scores(self, pair: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of words from the counts of the pair, of the word before and of the word."""
+        before = np.maximum(before, 1).astype(float)
+        p = (count + 1.0) / (self.total + self.types + 1.0)
+        return np.log10((np.minimum(pair, before) + self.k * p) / (before + self.k))
+
+
+def scorer(shared):
+    """Scores of texts where the model has all words and the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes = shared.value, WordHashes()
-        whole, row = model.total + model.types + 1.0, TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in slices(texts):
                 h, n = hashed(texts.slice(lo, hi - lo), hashes)
                 words, at = np.unique(h, return_inverse=True)
-                count = model.word_counts(words)[at]
-                doc = np.repeat(np.arange(len(n)), n)
-                known = count > 0
-                lone = np.where(count >= 0, np.log10((np.maximum(count, 0) + 1) / whole), 0.0)
-                if not tail:
-                    lone = np.log10((np.maximum(count, 0) + 1) / whole)
-                before = befores(h, n)
-                first = before == START
-                c_before = np.concatenate([[1], count[:-1]])
-                c_before = np.where(first, max(model.types, 1), np.maximum(c_before, 1)).astype(float)
-                pair = np.minimum(model.pair_counts(pair_keys(before, h)), c_before)
-                pair[count < 0] = 0
-                p = np.maximum(count, 0) + 1.0
-                p /= whole
-                seen = np.log10((pair + model.k * p) / (c_before + model.k))
-                score = np.where(pair > 0, seen, lone + np.log10(model.k / (c_before + model.k)))
-                out = pd_tail(h, doc, count, len(n)) if tail else [None] * len(n)
+                count = np.maximum(model.word_counts(words), 0)[at]
+                doc, before = np.repeat(np.arange(len(n)), n), befores(h, n)
+                c_before = np.where(before == START, max(model.types, 1), np.concatenate([[1], count[:-1]]))
+                score = model.pair_scores(model.pair_counts(pair_keys(before, h)), c_before, count)
                 total = lambda x: np.bincount(doc, weights=x, minlength=len(n))
                 columns = [
-                    batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(np.arange(row, row + len(n))), pa.array(n),
-                    pa.array(total(known).astype(np.int64)), pa.array(total(lone)), pa.array(total(score)), pa.array(out, pa.list_(pa.int64())),
+                    batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(n),
+                    pa.array(total(count > 0).astype(np.int64)), pa.array(total(model.lone(count))), pa.array(total(score)),
                 ]
-                row += len(n)
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
-SCORED = "doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, score double, tail array<bigint>"
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
+#: A row for each text, with what is known of it, and one for each other pair of it: n times key, v and w where they are outside the head, their counts where not.
+ROUTED = f"seg int, row bigint, {SCORED}, key bigint, n bigint, v bigint, w bigint, cv bigint, cw bigint"
 
 
-def pd_tail(h: np.ndarray, doc: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
-    """The hashes of each text's words outside the head, repeated as they occur."""
-    out = count < 0
-    return np.split(h[out].view(np.int64), np.cumsum(np.bincount(doc[out], minlength=n))[:-1])
+def router(shared, tail: bool):
+    """The parts of the scores that the model gives, and the pairs that are to be looked up elsewhere."""
+    names = [x.split()[0] for x in ROUTED.split(", ")]
 
+    def some(x: np.ndarray, there: np.ndarray) -> pa.Array:
+        return pa.array(x.astype(np.int64), mask=~there)
 
-def train(texts: DataFrame, bits: int = BITS, head: int = HEAD, k: float = K) -> tuple[Model, DataFrame, bool]:
-    """The model of a table with the column text, the counts of all words, and whether some are outside the head."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        model, hashes, row = shared.value, WordHashes(), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            texts = batch.column("text")
+            for lo, hi in slices(texts):
+                h, n = hashed(texts.slice(lo, hi - lo), hashes)
+                words, at = np.unique(h, return_inverse=True)
+                count = model.word_counts(words)[at]
+                if not tail:  # the head holds all words
+                    count = np.maximum(count, 0)
+                doc, before = np.repeat(np.arange(len(n)), n), befores(h, n)
+                c_before = np.where(before == START, max(model.types, 1), np.concatenate([[1], count[:-1]]))
+                key = pair_keys(before, h)
+                level = model.hot_levels(key)
+                here = (level >= 0) & (count >= 0) & (c_before >= 0)
+                total = lambda x, m: np.bincount(doc[m], weights=x, minlength=len(n)).astype(float)
+                known = count >= 0
+                score = total(model.pair_scores(count_of(level[here]), c_before[here], count[known & here]), here)
+                sums = [total(count[known] > 0, known).astype(np.int64), total(model.lone(count[known]), known), score]
+                rows = np.arange(row, row + len(n))
+                row += len(n)
+                none = pa.nulls(len(n), pa.int64())
+                own = [batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(n), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays([pa.array((rows % model.segments).astype(np.int32)), pa.array(rows), *own, *[none] * 6], names)
+                rest = np.flatnonzero(~here)
+                rest = rest[np.lexsort((key[rest], doc[rest]))]
+                new = np.ones(len(rest), bool)
+                new[1:] = (key[rest[1:]] != key[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])
+                times = np.diff(np.append(np.flatnonzero(new), len(rest)))
+                rest = rest[new]
+                for i in range(0, len(rest), 100_000):
+                    r = rest[i : i + 100_000]
+                    tail_v, tail_w = c_before[r] < 0, count[r] < 0
+                    columns = [
+                        pa.array(segment_of(key[r], model.segments).astype(np.int32)), pa.array(rows[doc[r]]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.bool_()), *[pa.nulls(len(r), pa.int64())] * 2,
+                        *[pa.nulls(len(r), pa.float64())] * 2, pa.array(key[r].view(np.int64)), pa.array(times[i : i + 100_000]),
+                        some(before[r].view(np.int64), tail_v), some(h[r].view(np.int64), tail_w), some(c_before[r], ~tail_v), some(count[r], ~tail_w),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def probe(shared):
+    """Parts of the sums from routed rows, ordered by segment, each segment's part of the filter (a row with bits) before its pairs."""
+    names = ["row", *(x.split()[0] for x in SCORED.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, last = shared.value, (-1, np.zeros(0, np.uint8))
+        for batch in batches:
+            seg = batch.column("seg").to_numpy()
+            parts = batch.filter(batch.column("bits").is_valid())
+            held = [last, *((s, np.frombuffer(b, np.uint8)) for s, b in zip(parts.column("seg").to_pylist(), parts.column("bits").to_pylist(), strict=True))]
+            last = held[-1]
+            size = np.array([8 * len(b) for _, b in held])
+            start, bits, of = np.cumsum(size) - size, np.concatenate([b for _, b in held]), np.array([s for s, _ in held])
+            texts = batch.filter(batch.column("n_tokens").is_valid())
+            yield pa.RecordBatch.from_arrays([texts.column(c) for c in names], names)
+            asked = batch.column("key").is_valid()
+            pairs = batch.filter(asked)
+            if not len(pairs):
+                continue
+            seg = seg[asked.to_numpy(zero_copy_only=False)]
+            row, key, n, cv, cw = (pairs.column(c).to_numpy() for c in ("row", "key", "n", "cv", "cw"))
+            rare = pairs.column("w").is_valid().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(of, seg)
+            at = np.minimum(at, len(of) - 1)
+            level = levels(key.view(np.uint64), bits, start[at], np.where(of[at] == seg, size[at], 0))
+            score = n * model.pair_scores(count_of(level), cv, cw)
+            rows, to = np.unique(row, return_inverse=True)
+            total = lambda x: np.bincount(to, weights=x, minlength=len(rows))
+            blank = [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_()), pa.nulls(len(rows), pa.int64())]
+            sums = [total(n * (rare & (cw > 0))).astype(np.int64), total(np.where(rare, n * model.lone(cw), 0.0)), total(score)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), *blank, *map(pa.array, sums)], names)
+
+    return run
+
+
+def learn(texts: DataFrame, head: int = HEAD, k: float = K) -> tuple[Model, DataFrame, bool, DataFrame]:
+    """The model of a table with the column text, without its filter; the counts of words outside the head, whether there are any, and the parts of the filter."""
     words = texts.select("text").mapInArrow(partial_counts(False), "seg int, h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     words = write_shared(words, "words")
     total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     cut = 1
     if types > head:  # the lowest count such that no more than head words have it
         bands = words.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-        held = 0
+        held, cut = 0, bands[0].c + 1
         for r in bands:
             if held + r["count"] > head:
                 break
             held, cut = held + r["count"], r.c
-        else:
-            cut = 1
     top = words.where(F.col("c") >= cut).toArrow() if types else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
     keys, counts = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(keys)
-    pairs = texts.select("text").mapInArrow(partial_counts(True), "seg int, h bigint, c bigint").repartition("seg").groupBy("seg", "h").agg(F.sum("c").alias("c"))
-    filled = np.zeros(BITS // 8, np.uint8)
-    for r in write_shared(pairs.mapInArrow(build, "seg int, cut int, bits binary"), "filter").toLocalIterator():
-        filled[r.seg * PART // 8 : (r.seg + 1) * PART // 8] = np.frombuffer(r.bits, np.uint8)
-    return Model(filled, keys[order], counts[order].astype(np.int64), int(total), int(types), k), words.where(F.col("c") < cut), cut > 1
+    segments = max(SEGMENTS, 1 << (int(total) // PER_PART).bit_length())
+    pairs = texts.select("text").mapInArrow(partial_counts(True, segments), "seg int, h bigint, c bigint").repartition("seg").groupBy("seg", "h").agg(F.sum("c").alias("c"))
+    parts = write_shared(pairs.sortWithinPartitions("seg").mapInArrow(build(max(64, int(total) // HOT)), PARTS), "filter")
+    return Model(keys[order], counts[order].astype(np.int64), int(total), int(types), k, segments), words.where(F.col("c") < cut), cut > 1, parts
+
+
+def train(texts: DataFrame, head: int = HEAD, k: float = K) -> tuple[Model, DataFrame, bool]:
+    """The model of a table with the column text and the whole filter, the counts of words outside the head, and whether there are any."""
+    model, rare, tail, parts = learn(texts, head, k)
+    model.take_filter(parts)
+    return model, rare, tail
+
+
+def counted(found: DataFrame, rare: DataFrame, word: str, count: str) -> DataFrame:
+    """Routed rows with the counts of words outside the head."""
+    r = rare.select(F.col("h").alias(word), F.col("c").alias("__c"))
+    more = found.where(F.col(word).isNotNull()).join(r, word, "left").withColumn(count, F.coalesce("__c", F.lit(0).cast("long")))
+    return found.where(F.col(word).isNull()).unionByName(more.select(*found.columns))
 
 
 def scores(docs: DataFrame, folds: int = 7, held: int = 2, head: int = HEAD, k: float = K) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row, learning from rows not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"))
-    model, rare, tail = train(rows.where("not held_out"), head=head, k=k)
+    model, rare, tail, parts = learn(rows.where("not held_out"), head, k)
+    whole = not tail and parts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= BITS
+    (model.take_filter if whole else model.take_hot)(parts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = rows.mapInArrow(scorer(shared, tail), SCORED)
+    if whole:
+        found = rows.mapInArrow(scorer(shared), SCORED)
+    else:
+        asked = rows.mapInArrow(router(shared, tail), ROUTED)
+        if tail:
+            asked = counted(counted(write_shared(asked, "routed"), rare, "v", "cv"), rare, "w", "cw")
+        both = asked.unionByName(parts.select("seg", "bits"), allowMissingColumns=True)
+        both = both.repartition("seg").sortWithinPartitions("seg", F.col("bits").isNull())
+        sums = both.mapInArrow(probe(shared), f"row bigint, {SCORED}").groupBy("row")
+        found = sums.agg(*[f(c).alias(c) for f, c in ((F.max, "doc_id"), (F.max, "held_out"), (F.sum, "n_tokens"), (F.sum, "n_known"), (F.sum, "base"), (F.sum, "score"))])
     total = F.lit(model.total).cast("long").alias("train_tokens")
-    if tail:
-        found = write_shared(found, "scored")
-        whole = float(model.total + model.types + 1)
-        each = found.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count(F.lit(1)).alias("n"))
-        c = F.coalesce("c", F.lit(0))
-        more = each.join(rare, "h", "left").groupBy("row").agg(
-            F.sum(F.col("n") * F.log10((c + 1) / F.lit(whole))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known")
-        )
-        found = found.drop("tail").join(more, "row", "left").withColumns(
-            {x: F.col(x) + F.coalesce(y, F.lit(0)) for x, y in (("n_known", "more_known"), ("base", "more"), ("score", "more"))}
-        )
     return found.select("doc_id", "held_out", "n_tokens", "n_known", total, F.col("base").alias("base_score"), "score")

@@ -246,6 +246,26 @@ def test_bloom_lm_counts_pairs(spark):
     assert 32 < got[0] < 128 and got[1] == 0
 
 
+@pytest.mark.parametrize("head", [1 << 21, 5])
+def test_bloom_lm_scores_do_not_change_with_its_limits(spark, monkeypatch, head):
+    rows = [(i, prose(i, 300) + " red house") for i in range(60)] + [(500, None), (501, "red house red house"), (None, "x")]
+    want = {x.doc_id: x for x in bloomlm.scores(make(spark, rows)).collect()}
+    monkeypatch.setattr(bloomlm, "BITS", 1 << 10)
+    got = {x.doc_id: x for x in bloomlm.scores(make(spark, rows), head=head).collect()}
+    assert len(got) == len(want) == len(rows)
+    for i, x in want.items():
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known) == (x.held_out, x.n_tokens, x.n_known)
+        assert abs(got[i].base_score - x.base_score) < 1e-6 and abs(got[i].score - x.score) < 1e-6
+
+
+def test_bloom_lm_keeps_every_pair(spark):
+    texts = [prose(i, 12_000) for i in range(6)]
+    model, _, _ = bloomlm.train(make(spark, list(enumerate(texts))))
+    h = [WordHashes().array(bloomlm.tokens(t)) for t in texts]
+    assert all((model.pair_counts(bloomlm.pair_keys(x[:-1], x[1:])) > 0).all() for x in h)
+    assert len(model.bits) * 8 <= 6 * 64 * sum(map(len, h))
+
+
 def test_bloom_lm_edges(odd, none):
     assert bloomlm.scores(odd).count() == 10 and bloomlm.scores(none).count() == 0
 
