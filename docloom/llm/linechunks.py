@@ -1,9 +1,10 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A rolling hash over the hashes of two neighbouring lines decides where chunks end; each of its low eight
-bits is a family of boundaries of its own, so that a boundary moves with the text and not with its place in
-the document. A chunk starts at any line and runs to the first boundary after its fortieth word; a line of
-forty words or more is a chunk by itself. A chunk that occurs at two or more places of the corpus is
+From every line runs a chunk to its fortieth word, to the end of that line, and to every line runs the shortest chunk
+of forty words or more; so boundaries move with the text and not with its place in the document. Any passage of
+whole lines with forty words or more is the union of such chunks inside it, however its words are dealt over lines, so
+that each of its copies has the same chunks. A chunk's hash comes from a rolling hash over the hashes of lines, in one
+step for a chunk of any length. A chunk that occurs at two or more places of the corpus is
 repeated: its occurrence with the smallest (doc_id, line) stays and the others go, line by line, once the
 bytes of the lines have been compared with those that stay.
 
@@ -23,11 +24,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import mix, sift, slices, write_shared
 
-FAMILIES, MIN_WORDS, MOST_LINES = 8, 40, 64
+MIN_WORDS = 40
 _BASE = 0x9E3779B97F4A7C15
-_POW = np.ones(MOST_LINES + 1, np.uint64)
-for _i in range(MOST_LINES):
-    _POW[_i + 1] = (int(_POW[_i]) * _BASE) & 0xFFFFFFFFFFFFFFFF
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def line_hashes(lines: list[str]) -> np.ndarray:
@@ -37,33 +36,28 @@ def line_hashes(lines: list[str]) -> np.ndarray:
     return np.fromiter((of(x) for x in lines), np.uint64, len(lines))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base, modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def chunks(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first line and last line of every chunk of a document's lines."""
     n = len(lines)
     h = line_hashes(lines)
     words = np.concatenate([[0], np.cumsum([len(x.split()) for x in lines])])
+    line = np.arange(n)
+    last = np.searchsorted(words, words[:-1] + MIN_WORDS) - 1  # the line with the fortieth word from here
+    first = np.searchsorted(words, words[1:] - MIN_WORDS, "right") - 1  # the last line from which there are forty words to here
+    s, e = np.concatenate([line[last < n], first[first >= 0]]), np.concatenate([last[last < n], line[first >= 0]])
+    se = np.unique(s * np.int64(n) + e)
+    s, e = se // n, se % n
     with np.errstate(over="ignore"):
-        cut = np.zeros(n, np.uint64)
-        cut[1:] = mix(h[:-1] * np.uint64(_BASE) + h[1:])
-        start = np.arange(n)
-        enough = np.searchsorted(words, words[:-1] + MIN_WORDS) - 1  # the line with the fortieth word
-        ends = [np.where(enough == start, start, n)]
-        wide = np.flatnonzero((enough > start) & (enough < n))
-        for bit in range(FAMILIES):
-            at = np.where(cut >> np.uint64(bit) & np.uint64(1), start, n)
-            following = np.minimum.accumulate(at[::-1])[::-1]
-            e = np.full(n, n)
-            e[wide] = following[enough[wide]]
-            ends.append(e)
-        s, e = np.tile(start, len(ends)), np.concatenate(ends)
-        good = (e < n) & (e - s < MOST_LINES)
-        se = np.unique(s[good] * np.int64(n) + e[good])
-        s, e = se // n, se % n
-        value = np.zeros(len(s), np.uint64)
-        for k in range(int((e - s).max()) + 1 if len(s) else 0):  # at most MOST_LINES steps over all chunks at once
-            inside = s + k <= e
-            value[inside] = value[inside] * np.uint64(_BASE) + h[s[inside] + k]
-    return mix(value + (e - s).astype(np.uint64)), s, e
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_BASE, n), dtype=np.uint64)])
+        value = (sums[e + 1] - sums[s]) * powers(_INVERSE, n)[s]
+        return mix(value + (e - s).astype(np.uint64)), s, e
 
 
 def emit_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +74,11 @@ def emit_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def max_key(ascending: dict[int, object]) -> int:
+    """The last key of a dict with ascending keys; -1 if it is empty."""
+    return next(reversed(ascending), -1)
+
+
 def emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines that may go, with the place that keeps their like, and lines that stay, from texts with what is asked of them."""
     for batch in batches:
@@ -87,14 +86,14 @@ def emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, tid, text, gone, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tid", "text", "gone", "asked")), strict=True):
             lines = text.split("\n")
             like: dict[int, tuple] = {}
-            for r in gone or ():
-                for i in range(r["s"], r["e"] + 1):
-                    to = ((r["keep"]["doc_id"] is not None, r["keep"]["doc_id"] or 0), r["keep"]["tid"], r["keep"]["s"] + i - r["s"], r["keep"]["doc_id"])
-                    if i not in like or to < like[i]:
-                        like[i] = to
-            rows += [(doc, tid, i, lines[i].encode(), True, to[3], to[1], to[2]) for i, to in like.items()]
-            stay = {i for r in asked or () for i in range(r["s"], r["e"] + 1)}
-            rows += [(doc, tid, i, lines[i].encode(), False, None, None, None) for i in sorted(stay)]
+            for r in sorted(gone or (), key=lambda r: (r["s"], r["e"])):  # a line's like is that in the first chunk with it
+                for i in range(max(r["s"], max_key(like) + 1), r["e"] + 1):
+                    like[i] = (r["keep"]["doc_id"], r["keep"]["tid"], r["keep"]["s"] + i - r["s"])
+            rows += [(doc, tid, i, lines[i].encode(), True, *to) for i, to in like.items()]
+            stay: dict[int, None] = {}
+            for r in sorted(asked or (), key=lambda r: (r["s"], r["e"])):
+                stay.update(dict.fromkeys(range(max(r["s"], max_key(stay) + 1), r["e"] + 1)))
+            rows += [(doc, tid, i, lines[i].encode(), False, None, None, None) for i in stay]
         for k in range(0, max(len(rows), 1), 5000):
             part = list(zip(*rows[k : k + 5000], strict=True)) or [[]] * 8
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]

@@ -178,6 +178,38 @@ def test_line_chunks(spark):
     assert all(got[i].removed_lines == 0 for i in (0, 4, 5, 6, 8, 9)) and all("short line\nother line" in got[i].clean for i in got)
 
 
+def test_line_chunks_equal_brute_force(spark):
+    r = random.Random(12)
+    shapes = [[26, 26], [18, 18, 18], [20, 20, 15], [10, 10, 10, 10, 10, 5], [39, 5, 5, 5], [1, 0] * 44 + [1], [39, 1], [20, 19], [45, 3], [0, 0, 50, 0, 0], [1] * 90]
+    passages = [[prose(900 + 100 * k + j, n) if n else "" for j, n in enumerate(shape)] for k, shape in enumerate(shapes * 3)]
+    docs = []
+    for i in range(60):
+        lines = [prose(40_000 + i, 30)]
+        for k in r.sample(range(len(passages)), 3):
+            a = r.choice([0, 0, 1])
+            lines += [*passages[k][a:], prose(50_000 + 100 * i + k, r.choice([3, 60]))]
+        docs.append((i, lines))
+    docs.append((60, docs[7][1]))
+    first, places = {}, {}
+    for i, lines in docs:
+        for s in range(len(lines)):
+            for e in range(s, len(lines)):
+                if sum(len(x.split()) for x in lines[s : e + 1]) >= 40:
+                    key = hash(tuple(lines[s : e + 1]))
+                    first.setdefault(key, (i, s))
+                    places.setdefault(key, []).append((i, s, e))
+    gone = {i: set() for i, _ in docs}
+    for key, where in places.items():
+        for i, s, e in where:
+            if (i, s) != first[key]:
+                gone[i].update(range(s, e + 1))
+    got = {x.doc_id: x for x in linechunks.clean(make(spark, [(i, "\n".join(x)) for i, x in docs])).collect()}
+    for i, lines in docs:
+        left = "\n".join(x for k, x in enumerate(lines) if k not in gone[i])
+        assert (got[i].removed_lines, got[i].clean) == (len(gone[i]), left if left.strip() else "")
+    assert sum(map(len, gone.values())) > 500
+
+
 def test_line_chunks_edges(odd, none):
     got = linechunks.clean(odd).collect()
     by = {x.doc_id: x for x in got}
