@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing columns; brute-force versions."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -120,6 +121,41 @@ def test_toxicity(toxic_tables):
     assert 1000 not in kept and 2000 in kept
 
 
+def test_toxicity_reads_long_disguises(spark, toxic_tables):
+    docs, labels = toxic_tables
+    hidden = [
+        "y o u a r e s u c h a w 0 r t h l 3 s s 1 d 1 0 t a n d e v e r y b o d y k n o w s i t t o o",
+        "y.o.u.a.r.e.s.u.c.h.a...w.o.r.t.h.l.e.s.s...i.d.i.o.t...a.n.d.e.v.e.r.y.b.o.d.y.k.n.o.w.s",
+        "i-d-i-o-t-a-n-d-m-o-r-e-o-f-t-h-e-s-a-m-e-a-l-l-t-h-e-w-a-y-d-o-w-n-h-e-r-e",
+        "wor" + "t" * 60 + "hless",
+    ]
+    long = make(spark, [(k, f"{prose(2500 + k, 20)} {t} {prose(3500 + k, 20)}") for k, t in enumerate(hidden)])
+    assert {x.doc_id: x.predicted for x in toxicity.scores(long, labels, model=toxicity.train(docs, labels)).collect()} == dict.fromkeys(range(4), 1)
+
+
+def test_toxicity_search_finds_the_best_path():
+    language, r = toxicity.Language({"idiot": 3.0, "worthless": 2.0, "hello": 5.0, "oil": 1.0}), random.Random(3)
+
+    def best(word):
+        paths = {("^", "^", ""): 0.0}
+        for last, sign in zip(["", *word], word):  # noqa: B905
+            options = [(c, toxicity.SIGN_COST) for c in toxicity.SIGNS.get(sign, "")] + [(sign, toxicity.LETTER_COST)] * sign.isalpha()
+            drop = 0.0 if sign in toxicity.SEPARATORS else toxicity.REPEAT_COST if sign == last else toxicity.DROP_COST
+            more = {}
+            for (x, y, t), cost in paths.items():
+                if not sign.isalpha() or sign == last:
+                    more[x, y, t] = max(more.get((x, y, t), -math.inf), cost + drop)
+                for c, price in options:
+                    more[y, c, t + c] = max(more.get((y, c, t + c), -math.inf), cost + price + language.log(x, y, c))
+            paths = more
+        return {t: cost + language.log(x, y, "$") for (x, y, t), cost in paths.items()}
+
+    for _ in range(60):
+        word = "".join(r.choice("1!|0*63o.lit") for _ in range(r.randint(1, 8)))
+        costs = best(word)
+        assert abs(costs[language.decode(word)] - max(costs.values())) < 1e-9
+
+
 def test_toxicity_edges(spark, odd, none, toxic_tables):
     labels = spark.createDataFrame([(None, 1, 1), (4, None, None)], "doc_id bigint, quality int, toxic int")
     assert {x.score for x in toxicity.scores(odd, labels).collect()} == {toxicity.Model(None, {}, 0, -500.0).score(set())}
