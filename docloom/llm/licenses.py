@@ -2,16 +2,18 @@
 
 A notice that may hold k errors is cut into k + 1 seeds; by the pigeonhole principle one of them stands
 unchanged in any text within k edits, so exact search for the seeds finds all candidates. The regex
-library then matches the notice with at most k errors around each candidate and gives span and edits.
+library then matches the notice with at most k errors around each candidate and gives span and edits. Of places
+that overlap the one with the fewest edits counts, and what it leaves free is searched again until nothing is found.
 Exact phrases (the base) are counted on whole words.
 
 Texts are compared in lower case (A-Z only), as words of letters, digits and non-ASCII characters joined by
 single spaces. Defined results: null and empty texts have no words and a score of 0; repeated rows and null
-ids give a row each; other columns are ignored; overlapping places all count.
+ids give a row each; other columns are ignored; overlapping places of different notices all count.
 """
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,18 +69,41 @@ class Scanner:
                 at = plain.find(seed, at + 1)
         out = []
         for k, starts in near.items():
-            notice, _, errors = self.notices[k]
-            areas: list[list[int]] = []
-            for s in sorted(set(starts)):
-                lo, hi = max(0, s - errors), s + len(notice) + errors
-                if areas and lo <= areas[-1][1]:
-                    areas[-1][1] = max(areas[-1][1], hi)
-                else:
-                    areas.append([lo, hi])
-            for lo, hi in areas:
-                out += [(k, m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[k].finditer(plain, lo, min(hi, len(plain)))]
+            out += [(k, *place) for place in self.places(k, plain, starts)]
         return out
 
+    def places(self, k: int, plain: bytes, starts: list[int]) -> list[tuple[int, int, int]]:
+        """Start, end and edits of all places of a notice near these starts."""
+        notice, _, errors = self.notices[k]
+        windows = {(max(0, s - errors), min(s + len(notice) + errors, len(plain))) for s in starts}
+        chosen: list[tuple[int, int, int]] = []  # in text order
+        while windows:
+            found, left = set(), set()
+            for window in windows:
+                for lo, hi in free(*window, chosen):
+                    if hi - lo >= len(notice) - errors and (m := self.patterns[k].search(plain, lo, hi)):
+                        found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                        left.add((lo, hi))
+            for edits, start, end in sorted(found):
+                if list(free(start, end, chosen)) == [(start, end)]:
+                    insort(chosen, (start, end, edits))
+            windows = left
+        return chosen
+
+
+def free(lo: int, hi: int, chosen: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches from lo to hi outside the chosen places."""
+    at = max(bisect(chosen, (lo,)) - 1, 0)
+    while at < len(chosen) and chosen[at][0] < hi:
+        start, end, _ = chosen[at]
+        if end > lo:
+            if start > lo:
+                yield lo, start
+            lo = end
+        at += 1
+    if lo < hi:
+        yield lo, hi
+
 
 def base_places(found: list[bytes]) -> list[tuple[int, str]]:
     """First word and label of each place where a base phrase stands."""

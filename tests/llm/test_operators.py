@@ -397,6 +397,28 @@ def test_fuzzy_search_equals_search_everywhere():
             assert any(f[0] == k for f in scanner.find(plain)) == bool(regex.search(rb"(?:" + regex.escape(notice) + rb"){e<=%d}" % errors, plain))
 
 
+def test_all_notices_that_stand_together():
+    scanner = licenses.Scanner()
+    spans = lambda text: [(text[s:e].decode(), d) for _, s, e, d in sorted(scanner.find(text), key=lambda x: x[1:])]
+    assert spans(b"foo licensed under the apache licence version 2 0 bar licensed under the apache license version 2 0 baz") == [("licensed under the apache licence version 2 0", 1), ("licensed under the apache license version 2 0", 0)]
+    assert spans(b"x all right reserved y z all rights reserved") == [("all right reserved", 1), ("all rights reserved", 0)]
+    r = random.Random(4)
+    for notice, _, errors in licenses.NOTICES:
+        k = [n for n, _, _ in licenses.NOTICES].index(notice)
+        copies = []
+        for _ in range(60):
+            w = bytearray(notice)
+            for at in r.sample(range(1, len(w) - 1), r.randint(0, errors)):
+                w[at] = ord("q")
+            copies.append(bytes(w))
+        text, want = b"", []
+        for w in copies:
+            text += b"xyz "
+            want.append((len(text), len(text) + len(w), sum(a != b for a, b in zip(w, notice, strict=True))))
+            text += w + b" "
+        assert sorted(x[1:] for x in scanner.find(text) if x[0] == k) == want
+
+
 def test_warc_round_trip(spark):
     r = random.Random(9)
     big = "".join(r.choice("abc\r\n é") for _ in range(90_000))
