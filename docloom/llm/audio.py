@@ -4,10 +4,10 @@ Media are 8-bit mono WAV files. Samples are resampled from 8 kHz to 6 kHz by a p
 overlapping windows of 256 samples, and turned into log energies of 16 mel bands. A segment starts where a
 window's energy rises over the upper threshold and ends where it falls below the lower one. Band energies are
 stored as fixed-shape Arrow tensors of 64 windows by 16 bands, each with its time span; the last is padded
-with the floor value. Long media are handled in blocks of BLOCK samples, so memory does not grow with them.
+with the floor value. Media are written to the shared folder and read back for the energies, and these are written
+and read back for the summaries. Long media are resampled in blocks of BLOCK windows.
 
-Defined results: a null text is the empty one, whose payload is 64 zero bytes; media shorter than a window
-are padded with silence to one window. Equal payloads give equal values. Other columns are ignored.
+Defined results: a null text is the empty one, whose payload is 64 zero bytes; the last window is padded with silence where the media end inside it. Equal payloads give equal values. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import slices
+from docloom.llm.common import slices, write_shared
 
 RATE, UP, DOWN, TAPS = 8000, 3, 4, 16
 WINDOW, HOP, BANDS, FRAMES = 256, 128, 16, 64
@@ -94,7 +94,7 @@ def log_mel(payload: bytes) -> np.ndarray:
     """Log energies, windows by bands."""
     raw = np.frombuffer(payload, np.uint8)
     n_out = len(raw) * UP // DOWN
-    windows = max(1, 1 + (n_out - WINDOW) // HOP)
+    windows = max(1, 1 - (WINDOW - n_out) // HOP)
     out = np.empty((windows, BANDS), np.float32)
     for first in range(0, windows, BLOCK):
         many = min(BLOCK, windows - first)
@@ -174,32 +174,62 @@ def as_tensors(table: pa.Table) -> pa.Table:
     return table.set_column(table.schema.get_field_index("tensor"), "tensor", held)
 
 
-DIGEST = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, wav in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
+            spans = [span_ms(*x) for x in segments(log_mel(from_wav(wav)).mean(axis=1)).tolist()]
+            n = len(spans)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([a for a, _ in spans], pa.int64()), pa.array([b for _, b in spans], pa.int64())], ["doc_id", "segment", "start_ms", "end_ms"]
+            )
+
+
+def segment_spans(stored: DataFrame) -> DataFrame:
+    """doc_id, segment, start_ms, end_ms: every hysteresis segment of stored media."""
+    return stored.select("doc_id", "media").mapInArrow(segment_rows, "doc_id bigint, segment int, start_ms bigint, end_ms bigint")
+
 
+SIZES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string"
+MEASURED, DIGEST = f"{SIZES}, windows bigint, tensors array<float>", f"{SIZES}, feature string"
 
-def describe(payload: bytes) -> str:
-    """Windows, tensors and their checksum, segments with the first time spans, mean energy of each band."""
-    mel = log_mel(payload)
-    held = tensors(mel)
+
+def describe(windows: int, flat: np.ndarray) -> str:
+    """Windows, tensors and their checksum, the time spans of all segments, mean energy of each band; flat: the tensors' values."""
+    mel = flat.reshape(-1, BANDS)[:windows]
     found = segments(mel.mean(axis=1))
-    spans = ";".join("{}-{}".format(*span_ms(*x)) for x in found[:4].tolist())
+    spans = ";".join("{}-{}".format(*span_ms(*x)) for x in found.tolist())
     bands = ",".join(f"{x:.2f}" for x in mel.mean(axis=0, dtype=np.float64))
-    crc = zlib.crc32(np.round(held.storage.flatten().to_numpy(), 2).astype("<f4").tobytes())
-    return f"windows={len(mel)} tensors={len(held)} crc={crc:08x} segments={len(found)} ms={spans} mel={bands}"
+    crc = zlib.crc32(np.round(flat, 2).astype("<f4").tobytes())
+    return f"windows={windows} tensors={len(flat) // (FRAMES * BANDS)} crc={crc:08x} segments={len(found)} ms={spans} mel={bands}"
+
+
+def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes, digests and tensors of stored media."""
+    names = [x.split()[0] for x in MEASURED.split(", ")]
+    for batch in batches:
+        for lo, hi in slices(batch.column("media")):
+            part = batch.slice(lo, hi - lo)
+            rows, held = [], []
+            for wav in part.column("media").to_pylist():
+                payload = from_wav(wav)
+                mel = log_mel(payload)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), len(mel)))
+                held.append(tensors(mel).storage.flatten().to_numpy())
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held))))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names)
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in DIGEST.split(", ")]
     for batch in batches:
-        rows = []
-        for wav in batch.column("media").to_pylist():
-            payload = from_wav(wav)
-            sums = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest())
-            rows.append((*sums, describe(payload)))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = [pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], [x.split()[0] for x in DIGEST.split(", ")])
-
-
-def summaries(stored: DataFrame) -> DataFrame:
-    """Sizes, digests and a description of the features of stored media, read back from the stored bytes."""
-    return stored.mapInArrow(digest, DIGEST)
+        found = [describe(n, x.values.to_numpy()) for n, x in zip(batch.column("windows").to_pylist(), batch.column("tensors"), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.string())], names)
+
+
+def summaries(media: DataFrame) -> DataFrame:
+    """Sizes, digests and a description of the features of media; media and tensors are stored and read back."""
+    stored = write_shared(media, "media", "zstd")
+    return write_shared(stored.mapInArrow(measure, MEASURED), "tensors", "zstd").mapInArrow(digest, DIGEST)

@@ -31,11 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, outlives executors."""
+def write_shared(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, outlives executors. compression: Spark's choice if None."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -475,3 +475,22 @@ def test_audio_blocks_and_filters():
     rest = y[40:200] - fit @ np.linalg.lstsq(fit, y[40:200], rcond=None)[0]
     assert np.abs(rest).max() < 0.02
     assert audio.segments(np.array([0, 5, 3, 5, 0, 0.0])).tolist() == [[1, 3]]
+
+
+def test_audio_gives_all_segments(spark, monkeypatch):
+    stored = []
+    write = audio.write_shared
+    monkeypatch.setattr(audio, "write_shared", lambda df, name, *x: stored.append(name) or write(df, name, *x))
+    text = ("\x01" * 3000 + prose(5, 600)) * 12
+    table = audio.media(make(spark, [(1, text)]))
+    feature = audio.summaries(table).first().feature
+    spans = [f"{x.start_ms}-{x.end_ms}" for x in audio.segment_spans(table).orderBy("segment").collect()]
+    assert len(spans) > 8 and f" segments={len(spans)} ms={';'.join(spans)} " in feature and stored == ["media", "tensors"]
+
+
+def test_audio_hears_the_end(spark):
+    base = prose(3, 400)[:1984]
+    rows = [(n, base[: 1984 - 64 * n] + "a" * 40 + end) for n in range(6) for end in ("x" * 24, "\x01" * 24)]
+    got = audio.summaries(audio.media(make(spark, rows))).collect()
+    assert len({x.feature for x in got}) == len(rows)
+    assert [len(audio.log_mel(b"x" * n)) for n in (64, 320, 384, 512, 576)] == [1, 1, 2, 2, 3]
