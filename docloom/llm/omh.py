@@ -267,15 +267,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near-duplicates: of each class the row with the smallest doc_id, once."""
-    found = near_duplicates(docs)
-    keys = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    keys = write_shared(keys, "omh-kept")
-    kept = docs.join(keys.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not keys.where("copies > 1").isEmpty():  # repeated rows share an id: one of them stays
-        twice = keys.where("copies > 1").select("doc_id")
-        once = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
-        blank = F.coalesce(F.col("text"), F.lit("")) == ""
-        kept = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-        kept = kept.unionByName(once.where(~blank).dropDuplicates(["doc_id"])).unionByName(once.where(blank))
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of docs without near-duplicates: of each class the row with the smallest (doc_id, text key), once; null ids come last.
+
+    Rows without text are in no class and all stay."""
+    found = classes(docs).where(F.col("tid") != text_key(F.lit(""))).groupBy("comp", "doc_id", "tid").agg(F.count(F.lit(1)).alias("copies"))
+    least = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "copies")).alias("k"))
+    keys = write_shared(least.select(F.col("k.doc_id").alias("__id"), F.col("k.tid").alias("__tid"), F.col("k.copies").alias("__copies")), "omh-kept")
+    blank = F.coalesce(F.col("text"), F.lit("")) == ""
+    rows = docs.where(~blank).withColumn("__text", text_key(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tid"))
+    kept = rows.join(keys.where("__copies = 1"), same, "left_semi")
+    twice = keys.where("__copies > 1")
+    if not twice.isEmpty():  # repeated rows share id and text: one of them stays
+        kept = kept.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__text"]))
+    return kept.select(*docs.columns).unionByName(docs.where(blank))

@@ -92,6 +92,13 @@ def test_omh_edges(odd, none):
     assert omh.near_duplicates(none).count() == 0 and omh.keep_one(none).count() == 0
 
 
+def test_keep_one_by_id_and_text(spark):
+    a, b, c, d = (prose(60 + k, 80) for k in range(4))
+    rows = [(1, a), (None, a), (None, a + " more"), (None, b), (None, b), (7, c), (7, d), (3, d), (None, ""), (None, None), (9, ""), (9, "")]
+    got = [(x.doc_id, x.text) for x in omh.keep_one(make(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (7, c), (3, d), (None, ""), (None, None), (9, ""), (9, "")], key=str)
+
+
 @pytest.fixture(scope="module")
 def toxic_tables(spark):
     r = random.Random(3)
