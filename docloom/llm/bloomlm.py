@@ -1,16 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Word-pair counts over all training texts are quantised to powers of two; a pair of level q stands in the
-filter q times, once for each level up to its own, and its count is found by probing level after level
-until one is missing. The filter is made of parts, each with FILL bits for each level of the pairs in it, and the
-number of parts follows the training tokens: nothing is left out, and the filter grows with the pairs.
-
-A pair's probability is (c(v, w) + K p(w)) / (c(v) + K), with p(w) = (c(w) + 1) / (N + V + 1) from exact
-counts of words. There are two ways to the same scores. Where the words fit in HEAD and the filter in BITS, both
-are broadcast. Otherwise the counts of the HEAD most frequent words and the levels of the pairs that make up
-a HOT-th of the tokens or more each are broadcast, and the texts' other pairs go to the part of the
-filter that they belong to, after a join with the counts of the words outside the head; the parts of the sums
-come back by row.
+Word-pair counts over all training texts are quantised to powers of two; a pair of level q stands in the filter q times,
+once for each level up to its own, and its count is found by probing level after level until one is missing. The
+filter is made of parts, one for each group of pairs (the top bits of a pair's hash), with FILL bits for each level of the
+pairs in it: nothing is left out, and the filter and its number of parts grow with the corpus.
+
+A pair's probability is (c(v, w) + K p(w)) / (c(v) + K), with p(w) = (c(w) + 1) / (N + V + 1) from exact counts of words;
+before a text's first word stands its start, which is counted once for each training text.
+
+Texts are cut into slices. A slice sends each group the distinct words and pairs that it has there, with their numbers in
+training texts, in one shuffle; the group adds the numbers up, makes its part of the filter, and sends each slice the counts
+of its words back. While the whole filter has no more than BITS bits, it is broadcast and the scorers probe it; a larger
+filter stays in its parts, and the groups send back the levels that they probe. Both give the same scores.
 
 Defined results: null and empty texts have one token, the end; rows repeat as they come; a null doc_id is a
 training row with remainder 0. With no training tokens all counts are 0. Other columns are ignored.
@@ -18,7 +19,8 @@ training row with remainder 0. With no training tokens all counts are 0. Other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +29,82 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import WordHashes, crc_mod, mix, slices, write_shared
 
-BITS, SEGMENTS, PROBES, FILL = 1 << 28, 4096, 3, 6
-HEAD, HOT, K = 1 << 21, 1 << 20, 1000.0
-#: Training tokens for each part of the filter; SEGMENTS parts at least.
-PER_PART = 16384
-END, START = b"\0end", np.uint64(0x5851F42D4C957F2D)
-LEVELS = 62
+#: Bits of a filter that is broadcast: 32 MB.
+BITS = 1 << 28
+PROBES, FILL, LEVELS, K = 5, 10, 62, 1000.0
+#: Bytes of text for each group, and the least number of groups.
+GROUP_BYTES, GROUPS = 8 << 20, 16
+#: Bytes of a text that are split into words at once.
+PIECE = 4 << 20
+#: The end of a text and its start stand beside the hashes of words.
+END, START = np.uint64(0x27D4EB2F165667C5), np.uint64(0x5851F42D4C957F2D)
+WORD, PAIR, TEXT = 0, 1, 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_ZSTD = pa.Codec("zstd")
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def plain(text: str | None) -> bytes:
+    """A text's bytes in lower case (A-Z only)."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
 
+def words(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in pieces, which bounds the memory for very long ones."""
+    at = 0
+    while at < len(raw):
+        gap = _SPACE.search(raw, at + PIECE)
+        end = gap.start() if gap else len(raw)
+        yield raw[at:end].split()
+        at = end
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z only) and the end."""
-    out = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out.append(END)
+
+def hashed(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, each with its end, and how many each text has."""
+    out, n = [np.empty(0, np.uint64)], []
+    for raw in texts:
+        parts = [hashes.array(w) for w in words(raw)]
+        out += [*parts, np.array([END])]
+        n.append(sum(map(len, parts)) + 1)
+    return np.concatenate(out), np.array(n, np.int64)
+
+
+def befores(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The token before each token: START at the start of a text."""
+    out = np.empty_like(h)
+    out[1:] = h[:-1]
+    out[np.cumsum(n) - n] = START
     return out
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """56-bit hashes of pairs, in the upper bits: fewer of them meet than the filter errs."""
     with np.errstate(over="ignore"):
-        return mix(before * _STEP + word)
+        return mix(before * _STEP + word) & np.uint64(0xFFFFFFFFFFFFFF00)
 
 
-def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    """The part of a key: its top bits; segments is a power of two."""
-    return (keys >> np.uint64(65 - segments.bit_length())).astype(np.int64)
+def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of a key: its top bits; groups is a power of two."""
+    bits = groups.bit_length() - 1
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
 def positions(keys: np.ndarray, level: int, size) -> np.ndarray:
     """PROBES places in the key's part of the filter, a row for each; size: bits of the part, or of each key's part."""
     with np.errstate(over="ignore"):
         x = mix(keys + np.uint64(level) * _STEP)
-    return np.stack([((x >> np.uint64(21 * i)) & np.uint64((1 << 21) - 1)).astype(np.int64) * size >> 21 for i in range(PROBES)])
+    low, step = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
+    size = np.asarray(size, np.uint64)
+    return np.stack([(((low + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32)).astype(np.int64) for i in range(PROBES)])
+
+
+def part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits of a part that holds all these pairs."""
+    level = np.minimum(np.floor(np.log2(counts)).astype(int) + 1, LEVELS)
+    bits = np.zeros(max(64, -(-int(level.sum()) * FILL // 8) * 8), bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        bits[positions(keys[level >= j], j, len(bits))] = True
+    return np.packbits(bits)
 
 
 def levels(keys: np.ndarray, bits: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -78,127 +125,136 @@ def count_of(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 2.0**level / np.sqrt(2)))
 
 
-def hashed(column: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts, and how many each text has."""
-    found = [tokens(t) for t in column.to_pylist()]
-    return np.concatenate([hashes.array(t) for t in found]), np.array([len(t) for t in found])
+def squeeze(raw: bytes) -> bytes:
+    """Bytes, compressed if there are enough of them, after their number."""
+    return len(raw).to_bytes(4, "little") + (_ZSTD.compress(raw, asbytes=True) if len(raw) > 256 else raw)
 
 
-def befores(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[np.cumsum(n) - n] = START
-    return out
+def loosen(held: bytes) -> bytes:
+    n = int.from_bytes(held[:4], "little")
+    return _ZSTD.decompress(held[4:], n, asbytes=True) if n > 256 else held[4:]
 
 
-def partial_counts(pairs: bool, segments: int = SEGMENTS):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+def narrow(x: np.ndarray) -> bytes:
+    """Counts as bytes: all of the least size that holds them, after that size."""
+    size = next(s for s in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * s)
+    return bytes([size]) + squeeze(x.astype(f"<u{size}").tobytes())
 
-        def flush():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            for i in range(0, len(keys), 500_000):
-                k = keys[i : i + 500_000]
-                columns = [pa.array(segment_of(k, segments).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(counts[i : i + 500_000].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["seg", "h", "c"])
 
-        for batch in batches:
-            texts = batch.column("text")
-            for lo, hi in slices(texts):
-                h, n = hashed(texts.slice(lo, hi - lo), hashes)
-                held.append(pair_keys(befores(h, n), h) if pairs else h)
-                size += len(h)
-                if size > 2_000_000:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+def widened(held: bytes) -> np.ndarray:
+    return np.frombuffer(loosen(held[1:]), f"<u{held[0]}").astype(np.int64)
 
-    return run
 
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending keys as bytes: their differences, first all lowest bytes, then all next ones."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
-def part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The bits of a part that holds all these pairs."""
-    level = np.minimum(np.floor(np.log2(counts)).astype(int) + 1, LEVELS)
-    bits = np.zeros(max(64, -(-int(level.sum()) * FILL // 8) * 8), bool)
-    for j in range(1, int(level.max()) + 1):
-        bits[positions(keys[level >= j], j, len(bits))] = True
-    return np.packbits(bits)
 
+def unstepped(held: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(loosen(held), np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
-def build(often: int):
-    """Parts of the filter from the counts of their pairs, which come part by part, with the levels of pairs of a count of often or more."""
 
-    def one(seg: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        bits = part(keys, counts)
-        hot = keys[counts >= often]
-        level = levels(hot, bits, np.zeros(len(hot), np.int64), np.full(len(hot), 8 * len(bits)))
-        columns = [pa.array([seg], pa.int32()), pa.array([8 * len(bits)], pa.int64()), pa.array([bits.tobytes()], pa.binary()), pa.array([hot.tobytes()], pa.binary()), pa.array([level.astype(np.uint8).tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PARTS.split(", ")])
+SLICED = "slice bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, bytes bigint, texts binary"
+
+
+def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of doc_id, held_out and text as slices, each a row with its texts in one compressed value."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 33
+    names = [x.split()[0] for x in SLICED.split(", ")]
+    for batch in batches:
+        for lo, hi in slices(batch.column("text")):
+            part = batch.slice(lo, hi - lo)
+            raw = [plain(t) for t in part.column("text").to_pylist()]
+            joined = b"".join(raw)
+            ends = pa.array([0, hi - lo], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (part.column("doc_id"), part.column("held_out"), pa.array(map(len, raw), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists, pa.array([len(joined)], pa.int64()), pa.array([_ZSTD.compress(joined, asbytes=True)], pa.binary())], names)
+            at += 1
+
+
+def texts_of(row: dict) -> list[bytes]:
+    """The texts of a slice."""
+    joined, out, at = _ZSTD.decompress(row["texts"], row["bytes"], asbytes=True) if row["bytes"] else b"", [], 0
+    for n in row["sizes"]:
+        out.append(joined[at : at + n])
+        at += n
+    return out
+
+
+ASKED = "kind int, grp bigint, slice bigint, keys binary, times binary"
+
+
+def ask(groups: int):
+    """For each slice, kind and group: the distinct words or pairs, in order, and how often training texts have them."""
+    names = [x.split()[0] for x in ASKED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, []
+        hashes = WordHashes()
         for batch in batches:
-            seg, keys, counts = (batch.column(c).to_numpy() for c in ("seg", "h", "c"))
-            bounds = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(seg)]
-            for lo, hi in zip(bounds, bounds[1:], strict=False):
-                if lo == hi:
-                    continue
-                if held and seg[lo] != now:
-                    yield one(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-                now = int(seg[lo])
-                held.append((keys[lo:hi].view(np.uint64), counts[lo:hi]))
-        if held:
-            yield one(now, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                h, n = hashed(texts_of(row), hashes)
+                train = np.repeat(~np.array(row["held"], bool), n)
+                for kind, keys in ((WORD, h), (PAIR, pair_keys(befores(h, n), h))):
+                    keys, at = np.unique(keys, return_inverse=True)
+                    times = np.bincount(at[train], minlength=len(keys))
+                    group = group_of(keys, groups)
+                    ends = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(keys))
+                    bounds = list(zip(ends.tolist(), ends[1:].tolist(), strict=False))
+                    many = len(bounds)
+                    columns = [pa.array([kind] * many, pa.int32()), pa.array(group[ends[:-1]]), pa.array([row["slice"]] * many, pa.int64())]
+                    columns += [pa.array([steps(keys[a:b]) for a, b in bounds], pa.binary()), pa.array([narrow(times[a:b]) for a, b in bounds], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-PARTS = "seg int, size bigint, bits binary, hot binary, level binary"
+ANSWERED = "kind int, grp bigint, slice bigint, found binary, total bigint, types bigint, bits binary"
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """Of one kind and group: each slice's counts of words or levels of pairs, and a row without a slice: training tokens, types, and the part of the filter."""
+    kind, group = table.column("kind")[0].as_py(), table.column("grp")[0].as_py()
+    each = [unstepped(x) for x in table.column("keys").to_pylist()]
+    keys, at = np.unique(np.concatenate(each), return_inverse=True)
+    times = np.concatenate([widened(x) for x in table.column("times").to_pylist()])
+    count = np.bincount(at, weights=times, minlength=len(keys)).astype(np.int64)
+    known, bits = count > 0, None
+    found = count
+    if kind == PAIR:
+        bits = part(keys[known], count[known])
+        found = levels(keys, bits, np.zeros(len(keys), np.int64), np.full(len(keys), 8 * len(bits)))
+    ends = np.cumsum([0, *map(len, each)]).tolist()
+    out = [narrow(found[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+    n = len(out)
+    columns = [pa.array([kind] * (n + 1), pa.int32()), pa.array([group] * (n + 1), pa.int64()), pa.array([*table.column("slice").to_pylist(), None], pa.int64()), pa.array([*out, None], pa.binary())]
+    sums = [pa.array([None] * n + [int(x.sum())], pa.int64()) for x in (count, known)]
+    return pa.table(columns + sums + [pa.array([None] * n + [None if bits is None else bits.tobytes()], pa.binary())], [x.split()[0] for x in ANSWERED.split(", ")])
 
 
 class Model:
-    """What the workers get: the head's counts, the totals, and the filter or, where it is not broadcast, the levels of frequent pairs."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, types: int, k: float, segments: int):
-        self.keys, self.counts, self.total, self.types, self.k, self.segments = keys, counts, total, types, k, segments
-        self.bits = self.start = self.size = self.hot = self.level = None
-
-    def take_filter(self, parts: DataFrame) -> None:
-        rows = [(r.seg, r.bits) for r in parts.select("seg", "bits").toLocalIterator()]
-        self.start, self.size = np.zeros(self.segments, np.int64), np.zeros(self.segments, np.int64)
-        at = 0
-        for seg, bits in rows:
-            self.start[seg], self.size[seg] = at, 8 * len(bits)
-            at += 8 * len(bits)
-        self.bits = np.frombuffer(b"".join(bits for _, bits in rows), np.uint8)
-
-    def take_hot(self, parts: DataFrame) -> None:
-        rows = [(r.hot, r.level) for r in parts.where("length(level) > 0").select("hot", "level").toLocalIterator()]
-        hot, level = np.frombuffer(b"".join(x for x, _ in rows), np.uint64), np.frombuffer(b"".join(x for _, x in rows), np.uint8)
-        order = np.argsort(hot)
-        self.hot, self.level = hot[order], level[order]
-
-    def word_counts(self, h: np.ndarray) -> np.ndarray:
-        """Counts of words; -1 outside the head."""
-        if not len(self.keys):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.counts[at], -1)
+    """Training tokens, types and, where it is broadcast, the filter: its parts one after the other."""
+
+    def __init__(self, total: int, types: int, groups: int, parts: Iterable[tuple[int, bytes]] | None = None, k: float = K):
+        self.total, self.types, self.groups, self.k, self.bits = total, types, groups, k, None
+        if parts is not None:
+            self.start, self.size, held, at = np.zeros(groups, np.int64), np.zeros(groups, np.int64), [], 0
+            for group, bits in parts:
+                self.start[group], self.size[group] = at, 8 * len(bits)
+                at += 8 * len(bits)
+                held.append(bits)
+            self.bits = np.frombuffer(b"".join(held), np.uint8)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of pairs, by probes of the filter."""
+        group = group_of(keys, self.groups)
+        return levels(keys, self.bits, self.start[group], self.size[group])
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts of pairs, from the filter."""
-        seg = segment_of(keys, self.segments)
-        return count_of(levels(keys, self.bits, self.start[seg], self.size[seg]))
-
-    def hot_levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of frequent pairs; -1 for others."""
-        if not len(self.hot):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
-        return np.where(self.hot[at] == keys, self.level[at].astype(np.int64), -1)
+        return count_of(self.levels(keys))
 
     def lone(self, count: np.ndarray) -> np.ndarray:
         """Logarithm of p(w)."""
@@ -206,179 +262,77 @@ class Model:
 
     def pair_scores(self, pair: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Logarithms of the probabilities of words from the counts of the pair, of the word before and of the word."""
-        before = np.maximum(before, 1).astype(float)
         p = (count + 1.0) / (self.total + self.types + 1.0)
         return np.log10((np.minimum(pair, before) + self.k * p) / (before + self.k))
 
 
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
+
+
 def scorer(shared):
-    """Scores of texts where the model has all words and the filter."""
+    """Scores of the texts of slices, each of which comes after its answers."""
+    names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes = shared.value, WordHashes()
+        found: dict[int, list[np.ndarray]] = {WORD: [], PAIR: []}
         for batch in batches:
-            texts = batch.column("text")
-            for lo, hi in slices(texts):
-                h, n = hashed(texts.slice(lo, hi - lo), hashes)
-                words, at = np.unique(h, return_inverse=True)
-                count = np.maximum(model.word_counts(words), 0)[at]
-                doc, before = np.repeat(np.arange(len(n)), n), befores(h, n)
-                c_before = np.where(before == START, max(model.types, 1), np.concatenate([[1], count[:-1]]))
-                score = model.pair_scores(model.pair_counts(pair_keys(before, h)), c_before, count)
-                total = lambda x: np.bincount(doc, weights=x, minlength=len(n))
-                columns = [
-                    batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(n),
-                    pa.array(total(count > 0).astype(np.int64)), pa.array(total(model.lone(count))), pa.array(total(score)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORED.split(", ")])
+            for kind, value, i in zip(batch.column("kind").to_pylist(), batch.column("found").to_pylist(), range(len(batch)), strict=True):
+                if kind != TEXT:
+                    found[kind].append(widened(value))
+                    continue
+                row = batch.slice(i, 1).to_pylist()[0]
+                h, n = hashed(texts_of(row), hashes)
+                _, at = np.unique(h, return_inverse=True)
+                count = np.concatenate(found[WORD])[at]
+                before = befores(h, n)
+                first = before == START
+                # a training text has one end, so that the starts are as many as the ends
+                c_before = np.where(first, count[np.cumsum(n)[0] - 1], np.concatenate([[0], count[:-1]]))
+                keys, at = np.unique(pair_keys(before, h), return_inverse=True)
+                level = np.concatenate(found[PAIR]) if model.bits is None else model.levels(keys)
+                score = model.pair_scores(count_of(level)[at], c_before.astype(float), count)
+                doc = np.repeat(np.arange(len(n)), n)
+                total = lambda x: np.bincount(doc, weights=x, minlength=len(n))  # noqa: B023, E731
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(total(count > 0).astype(np.int64)), pa.array(total(model.lone(count))), pa.array(total(score))]
+                yield pa.RecordBatch.from_arrays(columns, names)
+                found = {WORD: [], PAIR: []}
 
     return run
 
 
-SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
-#: A row for each text, with what is known of it, and one for each other pair of it: n times key, v and w where they are outside the head, their counts where not.
-ROUTED = f"seg int, row bigint, {SCORED}, key bigint, n bigint, v bigint, w bigint, cv bigint, cw bigint"
-
-
-def router(shared, tail: bool):
-    """The parts of the scores that the model gives, and the pairs that are to be looked up elsewhere."""
-    names = [x.split()[0] for x in ROUTED.split(", ")]
-
-    def some(x: np.ndarray, there: np.ndarray) -> pa.Array:
-        return pa.array(x.astype(np.int64), mask=~there)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model, hashes, row = shared.value, WordHashes(), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            texts = batch.column("text")
-            for lo, hi in slices(texts):
-                h, n = hashed(texts.slice(lo, hi - lo), hashes)
-                words, at = np.unique(h, return_inverse=True)
-                count = model.word_counts(words)[at]
-                if not tail:  # the head holds all words
-                    count = np.maximum(count, 0)
-                doc, before = np.repeat(np.arange(len(n)), n), befores(h, n)
-                c_before = np.where(before == START, max(model.types, 1), np.concatenate([[1], count[:-1]]))
-                key = pair_keys(before, h)
-                level = model.hot_levels(key)
-                here = (level >= 0) & (count >= 0) & (c_before >= 0)
-                total = lambda x, m: np.bincount(doc[m], weights=x, minlength=len(n)).astype(float)
-                known = count >= 0
-                score = total(model.pair_scores(count_of(level[here]), c_before[here], count[known & here]), here)
-                sums = [total(count[known] > 0, known).astype(np.int64), total(model.lone(count[known]), known), score]
-                rows = np.arange(row, row + len(n))
-                row += len(n)
-                none = pa.nulls(len(n), pa.int64())
-                own = [batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(n), *map(pa.array, sums)]
-                yield pa.RecordBatch.from_arrays([pa.array((rows % model.segments).astype(np.int32)), pa.array(rows), *own, *[none] * 6], names)
-                rest = np.flatnonzero(~here)
-                rest = rest[np.lexsort((key[rest], doc[rest]))]
-                new = np.ones(len(rest), bool)
-                new[1:] = (key[rest[1:]] != key[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])
-                times = np.diff(np.append(np.flatnonzero(new), len(rest)))
-                rest = rest[new]
-                for i in range(0, len(rest), 100_000):
-                    r = rest[i : i + 100_000]
-                    tail_v, tail_w = c_before[r] < 0, count[r] < 0
-                    columns = [
-                        pa.array(segment_of(key[r], model.segments).astype(np.int32)), pa.array(rows[doc[r]]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.bool_()), *[pa.nulls(len(r), pa.int64())] * 2,
-                        *[pa.nulls(len(r), pa.float64())] * 2, pa.array(key[r].view(np.int64)), pa.array(times[i : i + 100_000]),
-                        some(before[r].view(np.int64), tail_v), some(h[r].view(np.int64), tail_w), some(c_before[r], ~tail_v), some(count[r], ~tail_w),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    return run
+def learn(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Of rows of doc_id, held_out and text: the table of slices, that of the answers, and the number of groups."""
+    sliced = write_shared(rows.select("doc_id", "held_out", "text").mapInArrow(slice_up, SLICED), "slices", "none")
+    size = sliced.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    groups = max(GROUPS, 1 << (int(size) // GROUP_BYTES).bit_length())
+    asked = sliced.mapInArrow(ask(groups), ASKED)
+    return sliced, write_shared(asked.groupBy("kind", "grp").applyInArrow(answer, ANSWERED), "answers", "zstd"), groups
 
 
-def probe(shared):
-    """Parts of the sums from routed rows, ordered by segment, each segment's part of the filter (a row with bits) before its pairs."""
-    names = ["row", *(x.split()[0] for x in SCORED.split(", "))]
+def model_of(answers: DataFrame, groups: int, k: float = K) -> Model:
+    """The model, with its filter where that has no more than BITS bits."""
+    sums = answers.where("slice is null").groupBy("kind").agg(F.sum("total").alias("total"), F.sum("types").alias("types"), F.sum(8 * F.octet_length("bits")).alias("bits"))
+    by = {r.kind: r for r in sums.collect()}
+    total, types, bits = (by[WORD].total, by[WORD].types, by[PAIR].bits) if by else (0, 0, 0)
+    parts = answers.where(f"slice is null and kind = {PAIR}").select("grp", "bits")
+    return Model(total, types, groups, ((r.grp, r.bits) for r in parts.collect()) if bits <= BITS else None, k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, last = shared.value, (-1, np.zeros(0, np.uint8))
-        for batch in batches:
-            seg = batch.column("seg").to_numpy()
-            parts = batch.filter(batch.column("bits").is_valid())
-            held = [last, *((s, np.frombuffer(b, np.uint8)) for s, b in zip(parts.column("seg").to_pylist(), parts.column("bits").to_pylist(), strict=True))]
-            last = held[-1]
-            size = np.array([8 * len(b) for _, b in held])
-            start, bits, of = np.cumsum(size) - size, np.concatenate([b for _, b in held]), np.array([s for s, _ in held])
-            texts = batch.filter(batch.column("n_tokens").is_valid())
-            yield pa.RecordBatch.from_arrays([texts.column(c) for c in names], names)
-            asked = batch.column("key").is_valid()
-            pairs = batch.filter(asked)
-            if not len(pairs):
-                continue
-            seg = seg[asked.to_numpy(zero_copy_only=False)]
-            row, key, n, cv, cw = (pairs.column(c).to_numpy() for c in ("row", "key", "n", "cv", "cw"))
-            rare = pairs.column("w").is_valid().to_numpy(zero_copy_only=False)
-            at = np.searchsorted(of, seg)
-            at = np.minimum(at, len(of) - 1)
-            level = levels(key.view(np.uint64), bits, start[at], np.where(of[at] == seg, size[at], 0))
-            score = n * model.pair_scores(count_of(level), cv, cw)
-            rows, to = np.unique(row, return_inverse=True)
-            total = lambda x: np.bincount(to, weights=x, minlength=len(rows))
-            blank = [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_()), pa.nulls(len(rows), pa.int64())]
-            sums = [total(n * (rare & (cw > 0))).astype(np.int64), total(np.where(rare, n * model.lone(cw), 0.0)), total(score)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), *blank, *map(pa.array, sums)], names)
 
-    return run
+def train(texts: DataFrame, k: float = K) -> Model:
+    """The model of a table with the column text; its filter is there if it has no more than BITS bits."""
+    _, answers, groups = learn(texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"))
+    return model_of(answers, groups, k)
 
 
-def learn(texts: DataFrame, head: int = HEAD, k: float = K) -> tuple[Model, DataFrame, bool, DataFrame]:
-    """The model of a table with the column text, without its filter; the counts of words outside the head, whether there are any, and the parts of the filter."""
-    words = texts.select("text").mapInArrow(partial_counts(False), "seg int, h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    words = write_shared(words, "words")
-    total, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    cut = 1
-    if types > head:  # the lowest count such that no more than head words have it
-        bands = words.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-        held, cut = 0, bands[0].c + 1
-        for r in bands:
-            if held + r["count"] > head:
-                break
-            held, cut = held + r["count"], r.c
-    top = words.where(F.col("c") >= cut).toArrow() if types else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-    keys, counts = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(keys)
-    segments = max(SEGMENTS, 1 << (int(total) // PER_PART).bit_length())
-    pairs = texts.select("text").mapInArrow(partial_counts(True, segments), "seg int, h bigint, c bigint").repartition("seg").groupBy("seg", "h").agg(F.sum("c").alias("c"))
-    parts = write_shared(pairs.sortWithinPartitions("seg").mapInArrow(build(max(64, int(total) // HOT)), PARTS), "filter")
-    return Model(keys[order], counts[order].astype(np.int64), int(total), int(types), k, segments), words.where(F.col("c") < cut), cut > 1, parts
-
-
-def train(texts: DataFrame, head: int = HEAD, k: float = K) -> tuple[Model, DataFrame, bool]:
-    """The model of a table with the column text and the whole filter, the counts of words outside the head, and whether there are any."""
-    model, rare, tail, parts = learn(texts, head, k)
-    model.take_filter(parts)
-    return model, rare, tail
-
-
-def counted(found: DataFrame, rare: DataFrame, word: str, count: str) -> DataFrame:
-    """Routed rows with the counts of words outside the head."""
-    r = rare.select(F.col("h").alias(word), F.col("c").alias("__c"))
-    more = found.where(F.col(word).isNotNull()).join(r, word, "left").withColumn(count, F.coalesce("__c", F.lit(0).cast("long")))
-    return found.where(F.col(word).isNull()).unionByName(more.select(*found.columns))
-
-
-def scores(docs: DataFrame, folds: int = 7, held: int = 2, head: int = HEAD, k: float = K) -> DataFrame:
+def scores(docs: DataFrame, folds: int = 7, held: int = 2, k: float = K) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row, learning from rows not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"))
-    model, rare, tail, parts = learn(rows.where("not held_out"), head, k)
-    whole = not tail and parts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] <= BITS
-    (model.take_filter if whole else model.take_hot)(parts)
+    sliced, answers, groups = learn(rows)
+    model = model_of(answers, groups, k)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    if whole:
-        found = rows.mapInArrow(scorer(shared), SCORED)
-    else:
-        asked = rows.mapInArrow(router(shared, tail), ROUTED)
-        if tail:
-            asked = counted(counted(write_shared(asked, "routed"), rare, "v", "cv"), rare, "w", "cw")
-        both = asked.unionByName(parts.select("seg", "bits"), allowMissingColumns=True)
-        both = both.repartition("seg").sortWithinPartitions("seg", F.col("bits").isNull())
-        sums = both.mapInArrow(probe(shared), f"row bigint, {SCORED}").groupBy("row")
-        found = sums.agg(*[f(c).alias(c) for f, c in ((F.max, "doc_id"), (F.max, "held_out"), (F.sum, "n_tokens"), (F.sum, "n_known"), (F.sum, "base"), (F.sum, "score"))])
+    needed = answers.where("slice is not null" if model.bits is None else f"slice is not null and kind = {WORD}").select("kind", "grp", "slice", "found")
+    both = needed.unionByName(sliced.withColumn("kind", F.lit(TEXT)), allowMissingColumns=True)
+    both = both.repartition("slice").sortWithinPartitions("slice", "kind", "grp")
     total = F.lit(model.total).cast("long").alias("train_tokens")
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", total, F.col("base").alias("base_score"), "score")
+    return both.mapInArrow(scorer(shared), SCORED).select("doc_id", "held_out", "n_tokens", "n_known", total, F.col("base").alias("base_score"), "score")
