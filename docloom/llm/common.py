@@ -44,6 +44,14 @@ def text_key(col) -> F.Column:
     return F.unhex(F.md5(F.encode(F.coalesce(col, F.lit("")), "UTF-8")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(col, n: int) -> F.Column:
     """crc32 of a value's decimal text, modulo n; a null value gives 0."""
     return F.coalesce(F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n)), F.lit(0).cast("long"))
@@ -109,6 +117,22 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows whose text (null: empty) is good to the function that judge() makes in each task; all columns stay, whatever their names."""
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = judge()
+        for batch in batches:
+            texts, keep = batch.column(at), []
+            for lo, hi in slices(texts):
+                keep += [good(t or "") for t in texts.slice(lo, hi - lo).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 #: A sieve's size is fixed: 4 MB. Beyond a few million keys it lets more and more rows through, none is lost.
 SIEVE_PARTS, SIEVE_BITS = 64, 1 << 19
 
@@ -135,7 +159,7 @@ def sift(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFra
 
     The rows without a match then need no shuffle for a join with keys.
     """
-    only = keys.where(F.col(keys.columns[0]).isNotNull()).select(F.xxhash64(keys.columns[0]).alias("key"))
+    only = keys.where(F.col(keys.columns[0]).isNotNull()).select(F.xxhash64(keys.columns[0]).alias("key")).distinct()
     bits = np.zeros((SIEVE_PARTS, SIEVE_BITS // 8), np.uint8)
     dealt = only.repartition(SIEVE_PARTS, F.shiftrightunsigned("key", 58))  # a part comes from one task: the sieve is all that is collected
     for r in dealt.mapInArrow(_sieve_parts, "part int, bits binary").collect():
