@@ -10,10 +10,10 @@ leaves at most (n + m) / 9 insertions and deletions, which is the width of the b
 
 Classes are the components of the verified links between different texts. Within a bucket the members are
 first aligned with its smallest and its largest member. After the components of those links are known, the
-buckets with more than one component are gone through again: all members of different components whose
-count of common labelled shingles allows 0.8 are aligned, until they are linked. Buckets of more than BLOCK
-shingles are cut into blocks for this, and each pair of blocks is a task of its own; no pairs of texts are
-shuffled and nothing is capped.
+buckets with more than one component are gone through again: the members outside the bucket's largest component ask
+all members of other components, and where the count of common labelled shingles allows 0.8 they are aligned, until they
+are linked. Askers and asked are cut into blocks of BLOCK shingles and MEMBERS texts, and each pair of blocks is a
+task of its own; no pairs of texts are shuffled and nothing is capped.
 
 Defined results: equal texts are always one class; null counts as the empty text; texts without words
 form classes only with their exact copies, and rows that have no text at all stay alone (class_id is their
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHashes, mix, shingles, sift, slices, text_key, write_shared
+from docloom.llm.common import WordHashes, mix, shingles, sift, slices, text_key, unused, write_shared
 from docloom.llm.components import components
 
 WORDS = re.compile(r"\w+")
@@ -39,8 +39,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 2
 #: Shingles from which the sketches of a text are made one by one, which bounds their memory.
 LONG = 50_000
-#: Shingles of a block of a bucket.
-BLOCK = 400_000
+#: Shingles and texts of a block of a bucket.
+BLOCK, MEMBERS = 400_000, 1000
+#: A shingle in so many pairs of members is counted by a product of matrices, any other pair by pair.
+COMMON = 4096
 
 _seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _seeds[::2], _seeds[1::2] | np.uint64(1)
@@ -109,11 +111,39 @@ def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("tid").slice(lo, hi - lo), pa.array(seqs, pa.binary())], ["tid", "seq"])
 
 
+def run_of(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many elements of a from i and of b from j on are equal."""
+    total, step = 0, 32
+    while (n := min(step, len(a) - i - total, len(b) - j - total)) > 0:
+        apart = a[i + total : i + total + n] != b[j + total : j + total + n]
+        k = int(apart.argmax())
+        if apart[k]:
+            return total + k
+        total += n
+        step = min(8 * step, 1 << 18)
+    return total
+
+
+def common_few(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Length of the longest common subsequence if most insertions and deletions do, else None: furthest places by diagonal."""
+    n, m = len(a), len(b)
+    reach = {1: 0}
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            i = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
+            if i <= n and 0 <= i - k <= m:
+                i += run_of(a, b, i, i - k)
+            if i >= n and i - k >= m:
+                return (n + m - d) // 2
+            reach[k] = i
+    return None
+
+
 def common_banded(a: np.ndarray, b: np.ndarray, width: int) -> int:
     """Length of the longest common subsequence of a and b among alignments that stay within width of the diagonal.
 
-    The row of the alignment table is one integer, a bit for each place of b, so that a step costs a few
-    operations on machine words.
+    Few edits are found by diagonals. For more, the row of the alignment table is one integer, a bit for each place of b, so
+    that a step costs a few operations on machine words.
     """
     m = min(len(a), len(b))
     if not m:
@@ -129,6 +159,9 @@ def common_banded(a: np.ndarray, b: np.ndarray, width: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return head + tail
+    few = common_few(a, b, min(width, max(8, int(0.017 * (len(a) * len(b)) ** 0.5))))  # costs no more than the table would
+    if few is not None:
+        return head + tail + few
     where: dict[int, int] = {}
     for j, x in enumerate(b.tolist()):
         where[x] = where.get(x, 0) | 1 << j
@@ -169,46 +202,67 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def cross_links(table: pa.Table) -> pa.Table:
-    """Links between members of one bucket that are in different components; of two blocks, those between the blocks.
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each of x has in common with each of y."""
+    nx, ny = len(x), len(y)
+    ids, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    cut = sum(map(len, x))
+    owner = np.concatenate([np.repeat(np.arange(nx), [len(v) for v in x]), np.repeat(np.arange(ny), [len(v) for v in y])])
+    bx, by = np.bincount(at[:cut], minlength=len(ids)), np.bincount(at[cut:], minlength=len(ids))
+    out = np.zeros(nx * ny, np.int64)
+    light = (bx > 0) & (by > 0) & (bx * by <= COMMON)
+    order = np.argsort(at[cut:], kind="stable")
+    members, first = owner[cut:][order], np.cumsum(by) - by
+    asks = np.flatnonzero(light[at[:cut]])
+    many = by[at[asks]]
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(asks):  # some million pairs at once
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
+        n, e = many[lo:hi], asks[lo:hi]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(np.repeat(owner[e], n) * ny + members[np.repeat(first[at[e]], n) + step], minlength=nx * ny)
+        lo = hi
+    out = out.reshape(nx, ny)
+    heavy = np.flatnonzero((bx > 0) & (by > 0) & ~light)
+    place = np.full(len(ids), -1)
+    for k in range(0, len(heavy), 2048):
+        place[:] = -1
+        place[heavy[k : k + 2048]] = np.arange(len(heavy[k : k + 2048]))
+        p = np.zeros((nx, 2048), np.float32)
+        q = np.zeros((ny, 2048), np.float32)
+        for table, part in ((p, slice(None, cut)), (q, slice(cut, None))):
+            here = np.flatnonzero(place[at[part]] >= 0)
+            table[owner[part][here], place[at[part]][here]] = 1
+        out += (p @ q.T).astype(np.int64)
+    return out
 
-    Common labelled shingles of all pairs are counted by a product of matrices over the shingles that occur twice or more.
-    """
-    tids, comps = table.column("tid").to_pylist(), table.column("comp").to_pylist()
-    seqs = [np.frombuffer(x, np.uint32) for x in table.column("seq").to_pylist()]
-    own, cross = table.column("own").to_numpy(), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
-    n = np.array([len(x) for x in seqs])
-    _, ids, times = np.unique(np.concatenate([labelled(x.astype(np.uint64)) for x in seqs]), return_inverse=True, return_counts=True)
-    shared = times[ids] > 1
-    member, ids = np.repeat(np.arange(len(n)), n)[shared], ids[shared]
-    _, ids = np.unique(ids, return_inverse=True)
-    counts = np.zeros((len(n), len(n)), np.float32)
-    order = np.argsort(ids, kind="stable")
-    member, ids = member[order], ids[order]
-    width = max(1, 4_000_000 // len(n))
-    for lo in range(0, int(ids[-1]) + 1 if len(ids) else 0, width):
-        a, b = np.searchsorted(ids, [lo, lo + width])
-        part = np.zeros((len(n), min(width, int(ids[-1]) + 1 - lo)), np.float32)
-        part[member[a:b], ids[a:b] - lo] = 1
-        counts += part @ part.T
-    need = SIMILARITY * (n[:, None] + n[None, :]) / (1 + SIMILARITY)
-    x, y = np.nonzero(np.triu(counts >= need - 1e-3, 1))
-    group = {c: c for c in comps}
-
-    def top(c):
-        while group[c] != c:
-            group[c] = group[group[c]]
-            c = group[c]
-        return c
 
+def cross_links(table: pa.Table) -> pa.Table:
+    """Links between the askers and the asked of one bucket, or of a pair of its blocks, that are in different components."""
+    asks = np.array(table.column("asks").to_pylist(), bool)
+    tids, comps, seqs = (np.array(table.column(c).to_pylist(), object) for c in ("tid", "comp", "seq"))
+    order = np.argsort(tids, kind="stable")
+    x, y = order[asks[order]], order[~asks[order]]
     out = []
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        if cross and own[i] == own[j]:
-            continue
-        p, q = top(comps[i]), top(comps[j])
-        if p != q and similarity(seqs[i], seqs[j]) >= SIMILARITY:
-            group[max(p, q)] = min(p, q)
-            out.append((tids[i], tids[j]))
+    if len(x) and len(y):
+        seqs = [np.frombuffer(v, np.uint32) for v in seqs]
+        lab = [labelled(v.astype(np.uint64)) for v in seqs]
+        n = np.array([len(v) for v in seqs])
+        need = SIMILARITY * (n[x][:, None] + n[y][None, :]) / (1 + SIMILARITY)
+        group = {c: c for c in comps}
+
+        def top(c):
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
+
+        for i, j in zip(*np.nonzero(common_counts([lab[i] for i in x], [lab[j] for j in y]) >= need - 1e-3), strict=True):
+            p, q = top(comps[x[i]]), top(comps[y[j]])
+            if p != q and similarity(seqs[x[i]], seqs[y[j]]) >= SIMILARITY:
+                group[max(p, q)] = min(p, q)
+                out.append((tids[x[i]], tids[y[j]]))
     return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
 
@@ -232,17 +286,23 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = buckets.select("tid").distinct()
     short = F.xxhash64("tid")
     near, _ = sift(rows.select("tid", "text", short.alias("short")), "short", wanted.select(short))
-    seqs = near.select("tid", "text").join(wanted, "tid", "left_semi").dropDuplicates(["tid"])
+    seqs = near.select("tid", "text").dropDuplicates(["tid"]).join(wanted, "tid", "left_semi")  # copies meet in their task first
     seqs = write_shared(seqs.mapInArrow(sequences, "tid binary, seq binary"), "omh-sequences")
     links = write_shared(linked(first, seqs), "omh-links")
     comps = components(links)
-    apart = buckets.join(comps, "tid", "left").select("key", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
-    mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    apart = write_shared(apart.join(mixed.where("low < high").select("key", "blocks"), "key"), "omh-apart")
-    own = F.pmod(F.xxhash64("tid"), F.col("blocks"))
-    dealt = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "tid", "comp").join(seqs, "tid")
-    more = write_shared(dealt.groupBy("key", "lo", "hi").applyInArrow(cross_links, "a binary, b binary"), "omh-links")
+    apart = write_shared(buckets.join(comps, "tid", "left").select("key", "tid", "n", F.coalesce("comp", "tid").alias("comp")), "omh-members")
+    parts = apart.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    main = F.max(F.struct("k", "n", "comp"))
+    blocks = lambda k, n: F.greatest(F.ceil(n / BLOCK), F.ceil(k / MEMBERS), F.lit(1).cast("long"))
+    mixed = parts.groupBy("key").agg(main.alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).where("main.k < k")
+    mixed = mixed.select("key", F.col("main.comp").alias("main"), blocks(F.col("k"), F.col("n")).alias("ys"), blocks(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("xs"))
+    apart = apart.join(write_shared(mixed, "omh-mixed"), "key")
+    block = lambda n: F.pmod(F.xxhash64("tid"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = apart.select("key", block("ys").alias("y"), each("xs").alias("x"), F.lit(False).alias("asks"), "tid", "comp")
+    askers = apart.where("comp <> main").select("key", each("ys").alias("y"), block("xs").alias("x"), F.lit(True).alias("asks"), "tid", "comp")
+    dealt = write_shared(asked.unionByName(askers), "omh-asked").join(seqs, "tid")
+    more = write_shared(dealt.groupBy("key", "x", "y").applyInArrow(cross_links, "a binary, b binary"), "omh-links")
     if not more.isEmpty():
         comps = components(links.union(more))
     named = rows.select("doc_id", "tid").join(comps, "tid", "left")
@@ -252,7 +312,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def bucketed(bands: DataFrame) -> DataFrame:
     """Members of the buckets that hold two texts or more, with the bucket's smallest and largest member."""
     ends = bands.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low < high")
-    return bands.join(ends, "key")
+    return bands.join(write_shared(ends, "omh-ends"), "key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -261,6 +321,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty = text_key(F.lit(""))
     found = found.withColumn("blank", F.col("tid") == empty)
     each = found.where("not blank").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
+    each = write_shared(each, "omh-sizes")  # so that the join can split a class with many rows
     out = found.where("not blank").join(each, "comp").select("doc_id", "class_id", "class_rows")
     alone = found.where("blank").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"))
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
@@ -269,15 +330,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row with the smallest (doc_id, text key), once; null ids come last.
 
-    Rows without text are in no class and all stay."""
+    Rows without text are in no class and all stay. Only rows that may go are shuffled."""
     found = classes(docs).where(F.col("tid") != text_key(F.lit(""))).groupBy("comp", "doc_id", "tid").agg(F.count(F.lit(1)).alias("copies"))
-    least = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "copies")).alias("k"))
-    keys = write_shared(least.select(F.col("k.doc_id").alias("__id"), F.col("k.tid").alias("__tid"), F.col("k.copies").alias("__copies")), "omh-kept")
-    blank = F.coalesce(F.col("text"), F.lit("")) == ""
-    rows = docs.where(~blank).withColumn("__text", text_key(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__tid"))
-    kept = rows.join(keys.where("__copies = 1"), same, "left_semi")
-    twice = keys.where("__copies > 1")
+    found = write_shared(found.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")), "omh-found")
+    least = write_shared(found.groupBy("comp").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1"), "omh-least")
+    gone = found.join(least, "comp", "left").select("doc_id", "tid", "copies", F.coalesce(F.col("place") != F.col("least"), F.lit(False)).alias("goes"))
+    touched = write_shared(gone.where("goes or copies > 1").select(F.col("doc_id").cast("long").alias("id"), "tid", "goes"), "omh-touched")
+    tid, key = unused(docs, "tid"), unused(docs, "key")
+    rows = docs.withColumn(tid, text_key(F.col("text"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), tid))
+    some, rest = sift(rows, key, touched.select(F.xxhash64("id", "tid")))
+    d, t = some.alias("d"), touched.alias("t")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.id")) & (F.col(f"d.{tid}") == F.col("t.tid"))
+    whole = [F.col(f"d.`{c}`") for c in docs.columns]
+    kept = rest.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(d.join(t, same, "left_anti").select(*whole))
+    twice = t.where("not goes")
     if not twice.isEmpty():  # repeated rows share id and text: one of them stays
-        kept = kept.unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__text"]))
-    return kept.select(*docs.columns).unionByName(docs.where(blank))
+        one = d.join(twice, same, "left_semi").select(*whole, F.col(f"d.{tid}")).dropDuplicates(["doc_id", tid])
+        kept = kept.unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept
