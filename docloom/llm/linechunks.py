@@ -10,7 +10,8 @@ bytes of the lines have been compared with those that stay.
 
 Defined results: null and empty texts come back as they are; a document of which nothing but white space
 is left comes back with the empty text. Rows that share doc_id and text count as one row and get one result;
-a null doc_id is an id like others and comes first. Further columns are passed through.
+a null doc_id is an id like others and comes first. Further columns are passed through; one that bears the name of a result
+makes the caller choose another name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix, sift, slices, write_shared
+from docloom.llm.common import mix, sift, slices, unused, write_shared
 
 MIN_WORDS = 40
 _BASE = 0x9E3779B97F4A7C15
@@ -134,16 +135,20 @@ def has_repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id", "tid").count().where("count > 1").isEmpty()
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """All rows of docs with the column clean (text without repeated passages) and removed_lines (how many went)."""
+def clean(docs: DataFrame, text: str = "clean", count: str = "removed_lines") -> DataFrame:
+    """All rows of docs with two columns more: the text without repeated passages, and how many lines went."""
+    if {text.lower(), count.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {text} or {count}; choose other names")
     gone = write_shared(removed_lines(docs), "removed")
-    some, rest = sift(docs.withColumn("__tid", F.xxhash64("text")), "__tid", gone.select("tid"))
-    d = some.alias("d")
+    tid = unused(docs, "tid")
+    some, rest = sift(docs.withColumn(tid, F.xxhash64("text")), tid, gone.select("tid"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    d = some.select(F.struct(*own).alias("row"), F.col(tid).alias("tid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).alias("d")
     g = gone.alias("g")
-    both = d.join(g, F.expr("cast(d.doc_id as bigint) <=> g.doc_id and d.__tid = g.tid"), "left")
+    both = d.join(g, same("d", "g"), "left")
     # the lines that stay, joined again; filter() passes the number of each line
     kept = F.expr("array_join(filter(split(d.text, '\\n', -1), (x, i) -> not array_contains(g.lines, i)), '\\n')")
-    text = F.when(F.col("g.lines").isNull(), F.col("d.text")).otherwise(kept)
-    text = F.when(F.col("g.lines").isNotNull() & ~text.rlike(r"\S"), F.lit("")).otherwise(text)
-    changed = both.select(*[F.col(f"d.`{c}`") for c in docs.columns], text.alias("clean"), F.coalesce(F.size("g.lines"), F.lit(0)).alias("removed_lines"))
-    return changed.union(rest.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").alias("clean"), F.lit(0).alias("removed_lines")))
+    left = F.when(F.col("g.lines").isNull(), F.col("d.text")).otherwise(kept)
+    left = F.when(F.col("g.lines").isNotNull() & ~left.rlike(r"\S"), F.lit("")).otherwise(left)
+    changed = both.select("d.row.*", left.alias(text), F.coalesce(F.size("g.lines"), F.lit(0)).alias(count))
+    return changed.union(rest.select(*own, F.col("text").alias(text), F.lit(0).alias(count)))
