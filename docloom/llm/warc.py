@@ -5,9 +5,10 @@ refers to an equal payload. Blocks over SEGMENT bytes are cut into a first recor
 records, which carry the origin's identifier and their number; the last has the total length. Archives hold
 at most FILE_RECORDS records, so that one fits in a task's memory however long the payloads are.
 
-Archives are compressed by gzip as whole files. Reading parses the records of each archive, compressed or not, groups continuation records by the origin's identifier, orders
-them by segment number, checks numbers and total length, and decodes the chunked framing. Whole records skip
-the grouping. What fails a check has a note in the column problem and no payload.
+Archives are compressed by gzip as whole files. Reading parses the records of each archive, compressed or not, groups
+continuation records by the origin's identifier, orders them by segment number, checks numbers and total length, and decodes
+the chunked framing. Whole records skip the grouping and are not shuffled. What fails a check has a note in the column problem
+and no payload; an archive that breaks off gives its records up to there and a row with a note.
 
 Defined results: a null payload is empty. Every input row gets a record, also repeated rows and rows without
 a key. Columns beside the key, url and payload are ignored.
@@ -15,17 +16,17 @@ a key. Columns beside the key, url and payload are ignored.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shared_dir, slices
+from docloom.llm.common import shared_dir, sift, slices, write_shared
 
 SEGMENT, CHUNK, FILE_RECORDS, REVISIT = 32_768, 4096, 1000, 1000
 END = "\r\n\r\n"
@@ -103,44 +104,69 @@ def write(pages: DataFrame, key: str, payload: str, path: str) -> str:
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = pages.select(F.col(key).cast("long").alias("key"), F.encode(F.col(payload), "UTF-8").alias("payload")).where(F.octet_length("payload") >= REVISIT)
     last = long.select("key", F.sha1("payload").alias("digest")).groupBy("digest").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    last = write_shared(last, "warc-last")
     refers = F.when(F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last")), F.col("last"))
-    rows = rows.join(last, "digest", "left").select("key", "url", "payload", "digest", refers.alias("refers"))
+    some, rest = sift(rows.withColumn("short", F.xxhash64("digest")), "short", last.select(F.xxhash64("digest")))  # the others' payloads are not shuffled
+    rows = some.join(last, "digest", "left").select("key", "url", "payload", "digest", refers.alias("refers"))
+    rows = rows.union(rest.select("key", "url", "payload", "digest", F.lit(None).cast("long")))
     out = rows.mapInArrow(make, "record binary").select(F.col("record").cast("string").alias("value"))
     out.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
     return path
 
 
 FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Segment-Origin-ID", "WARC-Segment-Number", "WARC-Segment-Total-Length", "X-Page-Id", "X-Refers-To-Page-Id", "WARC-Payload-Digest", "WARC-Target-URI")
-PARTS = "origin string, number int, total bigint, kind string, key bigint, refers bigint, digest string, url string, block binary"
+PARTS = "origin string, number int, total bigint, kind string, key bigint, refers bigint, digest string, url string, block binary, wrong string"
+
+
+def unzipped(content: bytes) -> tuple[bytes, str | None]:
+    """An archive's bytes, compressed (in one member or more) or not, and what is wrong with them, up to where they break off."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error as e:
+            return b"".join(out), f"the compressed archive is damaged: {e}"
+        if not member.eof:
+            return b"".join(out), "the compressed archive is cut short"
+        content = member.unused_data
+    return b"".join([*out, content]), None
 
 
 def parse(data: bytes) -> Iterator[tuple]:
-    """Origin, number, total length, kind, key, refers, digest, url and block of each record of an archive."""
+    """Origin, number, total length, kind, key, refers, digest, url, block and None of each record of an archive; where it breaks off, a row with a note."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        n = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) < n:
-            raise ValueError("a record is cut short")
-        kind, ident, origin, number, total, key, refers, digest, url = map(head.get, FIELDS)
-        whole = lambda x: None if x is None else int(x)
-        yield origin or ident, whole(number) or 0, whole(total), kind, whole(key), whole(refers), digest and digest.removeprefix("sha1:"), url, block
+        try:
+            end = data.index(b"\r\n\r\n", at)
+            head = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+            n = int(head["Content-Length"])
+            block = data[end + 4 : end + 4 + n]
+            if n < 0 or len(block) < n:
+                raise ValueError("a record is cut short")
+            kind, ident, origin, number, total, key, refers, digest, url = map(head.get, FIELDS)
+            whole = lambda x: None if x is None else int(x)
+            row = (origin or ident, whole(number) or 0, whole(total), kind, whole(key), whole(refers), digest and digest.removeprefix("sha1:"), url, block, None)
+        except (ValueError, KeyError) as e:
+            yield (None, 0, None, None, None, None, None, None, b"", f"the archive breaks off at byte {at}: {e}")
+            return
+        yield row
         at = end + 4 + n + len(END)
 
 
 def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string())
     names = [x.split()[0] for x in PARTS.split(", ")]
     make = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
         for data in batch.column("content"):
-            rows, size = [], 0
-            content = data.as_py()
-            for row in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
+            content, wrong = unzipped(data.as_py())
+            rows, size = [] if wrong is None else [(None, 0, None, None, None, None, None, None, b"", wrong)], 0
+            for row in parse(content):
+                if row[-1] and wrong:  # it has its note
+                    continue
                 rows.append(row)
-                size += len(row[-1])
+                size += len(row[-2])
                 if size > 4_000_000:
                     yield make(rows)
                     rows, size = [], 0
@@ -175,7 +201,9 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = b"".join(p["block"] for p in parts)
             total = parts[-1]["total"]
             payload = size = None
-            if first["number"] > 1 or first["number"] == 1 and ([p["number"] for p in parts] != list(range(1, len(parts) + 1)) or total != len(block)):
+            if first["wrong"]:
+                wrong = first["wrong"]
+            elif first["number"] > 1 or first["number"] == 1 and ([p["number"] for p in parts] != list(range(1, len(parts) + 1)) or total != len(block)):
                 wrong = "segments are missing or their length is wrong"
             elif first["number"] == 0 and len(parts) > 1:
                 wrong = "two records share an identifier"
@@ -191,7 +219,7 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """key, url, kind, refers, digest, payload (of responses), payload_bytes, problem for each logical record in path."""
     parts = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, PARTS)
-    one = F.struct("number", "total", "kind", "key", "refers", "digest", "url", "block")
+    one = F.struct("number", "total", "kind", "key", "refers", "digest", "url", "block", "wrong")
     whole = parts.where("number = 0").select(F.array(one).alias("parts"))
     cut = parts.where("number > 0").groupBy("origin").agg(F.sort_array(F.collect_list(one)).alias("parts")).select("parts")
     return whole.mapInArrow(assemble, READ).union(cut.mapInArrow(assemble, READ))
