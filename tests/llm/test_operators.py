@@ -83,6 +83,60 @@ def test_cross_links_join_blocks(spark):
     assert got == {0}
 
 
+def test_few_edits_equal_the_table():
+    r = random.Random(12)
+    for _ in range(300):
+        a = [r.randrange(8) for _ in range(r.randint(0, 30))]
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(b) + 1)
+            b[k : k + r.randint(0, 1)] = [r.randrange(8)] * r.randint(0, 1)
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + (a[i] == b[j]))
+        d = len(a) + len(b) - 2 * t[-1, -1]
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        assert omh.common_few(x, y, d) == t[-1, -1] and (d == 0 or omh.common_few(x, y, d - 1) is None)
+
+
+def test_long_texts_align_fast():
+    import time
+
+    a = np.random.default_rng(1).integers(0, 1 << 32, 1_000_000, dtype=np.uint32)
+    b = np.concatenate([a[:200_000], a[200_005:700_000], a[:9], a[700_000:]])
+    began = time.time()
+    assert omh.similarity(a, b) == (len(a) - 5) / (len(a) + 9)
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("common", [0, 3, 4096])
+def test_common_counts(monkeypatch, common):
+    monkeypatch.setattr(omh, "COMMON", common)
+    r = np.random.default_rng(3)
+    x, y = ([np.unique(r.integers(0, 60, r.integers(0, 40))).astype(np.uint64) for _ in range(n)] for n in (7, 5))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert omh.common_counts(x, y).tolist() == want
+
+
+@pytest.mark.parametrize("limits", [{"MEMBERS": 2}, {"BLOCK": 300}, {"COMMON": 1}])
+def test_omh_classes_do_not_change_with_its_limits(spark, monkeypatch, limits):
+    r = random.Random(15)
+    shared = prose(77, 60)  # a passage in texts that are otherwise unlike: large buckets of several classes
+    rows = []
+    for g in range(12):
+        base = f"{shared} {prose(600 + g, 20)}".split()
+        for _ in range(3):
+            w = list(base)
+            w[r.randrange(60, len(w))] = f"new{len(rows)}"
+            rows.append((len(rows), " ".join(w)))
+    want = {x.doc_id: x.class_id for x in omh.near_duplicates(make(spark, rows)).collect()}
+    assert len(set(want.values())) > 1
+    for name, value in limits.items():
+        monkeypatch.setattr(omh, name, value)
+    assert {x.doc_id: x.class_id for x in omh.near_duplicates(make(spark, rows)).collect()} == want
+
+
 def test_omh_edges(odd, none):
     got = omh.near_duplicates(odd).collect()
     by = {x.doc_id: x for x in got}
@@ -189,6 +243,17 @@ def test_lpt_equals_a_heap_over_groups(spark):
         assert where.setdefault(x.text_crc32, x.shard) == x.shard
 
 
+def test_lpt_is_exact_for_long_groups(spark):
+    sizes = [20_000 + 7 * k for k in range(40)] + [16_400, 16_401, 16_402] * 5
+    rows = [(i, prose(i, 2) + "x" * n) for i, n in enumerate(sizes)]
+    got = lpt.shards(make(spark, rows), 3).collect()
+    loads = [0] * 3
+    for size in sorted((len(t) + 16 for _, t in rows), reverse=True):
+        loads[loads.index(min(loads))] += size
+    mine = [sum(x.size for x in got if x.shard == k) for k in range(3)]
+    assert sorted(mine) == sorted(loads)
+
+
 def test_lpt_deals_runs_as_the_heap_does():
     import heapq
 
@@ -282,6 +347,53 @@ def test_decontamination(spark):
         assert k in index.near(flipped)
 
 
+def test_decontamination_equals_all_windows(spark):
+    r = random.Random(31)
+    vocabulary = prose(31, 400).split()
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.choice([6, 20, 25, 60])))) for k in range(12)]
+    rows = []
+    for d in range(40):
+        w = prose(900 + d, r.randint(0, 60)).split()
+        for _ in range(r.randint(0, 3)):
+            part = r.choice(items)[1].split()
+            for _ in range(r.randint(0, 3)):
+                part[r.randrange(len(part))] = "other"
+            w += part + prose(2000 + d, r.randint(0, 9)).split()
+        rows.append((d, " ".join(w)))
+    hashes, want = WordHashes(), {}
+    for i, t in rows:
+        words = decontaminate.WORDS.findall(t.lower())
+        for k, text in items:
+            mine = decontaminate.WORDS.findall(text.lower())
+            b = decontaminate.Counter(decontaminate.shingles(hashes.array(mine), 5).tolist())
+            for p in range(max(1, len(words) - len(mine) + 1)):
+                a = decontaminate.Counter(decontaminate.shingles(hashes.array(words[p : p + len(mine)]), 5).tolist())
+                value = decontaminate.overlap(a, b)
+                if value >= 0.8 and len(words) >= 5:
+                    want[i, k] = max(value, want.get((i, k), 0))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.leaks(make(spark, rows), bench).collect()}
+    assert got == want and len(want) > 15
+    assert {x.doc_id for x in decontaminate.remove_leaking(make(spark, rows), bench).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+@pytest.mark.parametrize("size", [25, 50, 100, 300])
+def test_decontamination_recall(size):
+    r, found, asked = random.Random(size), 0, 0
+    item = [f"w{r.random()}" for _ in range(size)]
+    index, hashes = decontaminate.Index([(1, " ".join(item).replace(".", "x"))]), WordHashes()
+    words = decontaminate.WORDS.findall(" ".join(item).replace(".", "x"))
+    for _ in range(400):
+        w = list(words)
+        for at in r.sample(range(size), r.randint(1, max(1, size // 40))):
+            w[at] = f"q{r.randrange(10**9)}"
+        a = decontaminate.Counter(decontaminate.shingles(hashes.array(w), 5).tolist())
+        if decontaminate.overlap(a, index.counts[0]) >= 0.8:
+            asked += 1
+            found += bool(decontaminate.search(w, index, hashes))
+    assert asked >= 20 and found == asked
+
+
 def test_decontamination_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, "some words that do not occur there")], "item_id bigint, text string")
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0
@@ -289,7 +401,7 @@ def test_decontamination_edges(spark, odd, none):
 
 
 def base_scores(rows):
-    tokens = lambda t: (t or "").encode().lower().split() + [b"\0end"]
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     counts = {}
     for i, t in rows:
@@ -300,12 +412,11 @@ def base_scores(rows):
     return {i: (len(tokens(t)), sum(w in counts for w in tokens(t)), sum(np.log10((counts.get(w, 0) + 1) / (total + types + 1)) for w in tokens(t))) for i, t in rows}, total
 
 
-@pytest.mark.parametrize("head", [1 << 21, 5])
-def test_bloom_lm_base_scores(spark, head):
+def test_bloom_lm_base_scores(spark):
     r = random.Random(6)
     words = prose(7, 60).split()
-    rows = [(i, " ".join(r.choice(words[: 5 + i % 50]) for _ in range(r.randint(0, 60)))) for i in range(120)] + [(500, None), (501, "")]
-    got = {x.doc_id: x for x in bloomlm.scores(make(spark, rows), head=head).collect()}
+    rows = [(i, " ".join(r.choice(words[: 5 + i % 50]) for _ in range(r.randint(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, "\0end \0END x")]
+    got = {x.doc_id: x for x in bloomlm.scores(make(spark, rows)).collect()}
     want, total = base_scores(rows)
     for i, (n, known, base) in want.items():
         x = got[i]
@@ -313,32 +424,64 @@ def test_bloom_lm_base_scores(spark, head):
         assert x.score < 0
 
 
+def test_bloom_lm_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bloomlm, "PIECE", 50)
+    r = random.Random(16)
+    words = prose(17, 40).split()
+    rows = [(i, " ".join(r.choice(words[: 3 + i % 37]) for _ in range(r.randint(0, 80)))) for i in range(150)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    one, two = {}, {}
+    for i, t in rows:
+        if not held(i):
+            last = None
+            for w in [*t.split(), "."]:
+                one[w] = one.get(w, 0) + 1
+                two[last, w] = two.get((last, w), 0) + 1
+                last = w
+    total, types = sum(one.values()), len(one)
+    level = lambda n: 0 if not n else 1 if n == 1 else 2 ** (int(math.log2(n)) + 1) / math.sqrt(2)
+    got = {x.doc_id: x.score for x in bloomlm.scores(make(spark, rows)).collect()}
+    same = 0
+    for i, t in rows:
+        score, last = 0.0, None
+        for w in [*t.split(), "."]:
+            before = one["."] if last is None else one.get(last, 0)
+            score += math.log10((min(level(two.get((last, w), 0)), before) + bloomlm.K * (one.get(w, 0) + 1) / (total + types + 1)) / (before + bloomlm.K))
+            last = w
+        assert got[i] >= score - 1e-9  # a filter errs upwards only
+        same += abs(got[i] - score) < 1e-9
+    assert same > 0.8 * len(rows)
+
+
 def test_bloom_lm_counts_pairs(spark):
     rows = [(i, "red house near old tower") for i in range(64)] + [(100 + i, prose(i, 30)) for i in range(50)]
-    model, _, _ = bloomlm.train(make(spark, rows))
+    model = bloomlm.train(make(spark, rows))
     h = WordHashes().array([b"red", b"house", b"tower", b"red"])
     got = model.pair_counts(bloomlm.pair_keys(h[[0, 2]], h[[1, 3]]))
     assert 32 < got[0] < 128 and got[1] == 0
+    assert 64 < model.pair_counts(bloomlm.pair_keys(np.array([bloomlm.START]), h[:1]))[0] < 128
 
 
-@pytest.mark.parametrize("head", [1 << 21, 5])
-def test_bloom_lm_scores_do_not_change_with_its_limits(spark, monkeypatch, head):
+def test_bloom_lm_scores_do_not_change_with_its_limits(spark, monkeypatch):
     rows = [(i, prose(i, 300) + " red house") for i in range(60)] + [(500, None), (501, "red house red house"), (None, "x")]
     want = {x.doc_id: x for x in bloomlm.scores(make(spark, rows)).collect()}
-    monkeypatch.setattr(bloomlm, "BITS", 1 << 10)
-    got = {x.doc_id: x for x in bloomlm.scores(make(spark, rows), head=head).collect()}
-    assert len(got) == len(want) == len(rows)
-    for i, x in want.items():
-        assert (got[i].held_out, got[i].n_tokens, got[i].n_known) == (x.held_out, x.n_tokens, x.n_known)
-        assert abs(got[i].base_score - x.base_score) < 1e-6 and abs(got[i].score - x.score) < 1e-6
+    for name, value in (("BITS", 1 << 10), ("PIECE", 64)):
+        monkeypatch.setattr(bloomlm, name, value)
+        got = {x.doc_id: x for x in bloomlm.scores(make(spark, rows)).collect()}
+        assert len(got) == len(want) == len(rows)
+        for i, x in want.items():
+            assert (got[i].held_out, got[i].n_tokens, got[i].n_known) == (x.held_out, x.n_tokens, x.n_known)
+            assert abs(got[i].base_score - x.base_score) < 1e-6 and abs(got[i].score - x.score) < 1e-6
 
 
 def test_bloom_lm_keeps_every_pair(spark):
     texts = [prose(i, 12_000) for i in range(6)]
-    model, _, _ = bloomlm.train(make(spark, list(enumerate(texts))))
-    h = [WordHashes().array(bloomlm.tokens(t)) for t in texts]
+    model = bloomlm.train(make(spark, list(enumerate(texts))))
+    h = [WordHashes().array(t.encode().split()) for t in texts]
     assert all((model.pair_counts(bloomlm.pair_keys(x[:-1], x[1:])) > 0).all() for x in h)
-    assert len(model.bits) * 8 <= 6 * 64 * sum(map(len, h))
+    assert len(model.bits) * 8 <= bloomlm.FILL * sum(len(x) + 2 for x in h) + 64 * model.groups
+    other = WordHashes().array([w.encode() + b"!" for w in prose(99, 20_000).split()])
+    assert (model.pair_counts(bloomlm.pair_keys(other[:-1], other[1:])) > 0).mean() < 0.02
 
 
 def test_bloom_lm_edges(odd, none):
@@ -374,6 +517,29 @@ def test_packing(spark, odd, none):
     assert packing.pack(odd).where("length = 1").count() == 2 and packing.pack(none).count() == 0
 
 
+def test_packer_equals_a_list_of_bins():
+    r = random.Random(2)
+    for most in (1, 3, 50):
+        packer, bins, made = packing.Packer(40, most), [], 0
+        for _ in range(400):
+            n = r.randint(1, 40)
+            k, at = packer.put(n)
+            fits = [b for b in bins if b[1] >= n]
+            if fits:
+                free = min(b[1] for b in fits)
+                assert 40 - at == free and [k, free] in bins
+                bins.remove([k, free])
+            else:
+                assert (k, at) == (made, 0)
+                free, made = 40, made + 1
+            if free - n:
+                bins.append([k, free - n])
+            if len(bins) > most:
+                least = min(b[1] for b in bins)
+                gone = [b for b in bins if b[1] == least]
+                bins.remove(max(gone, key=bins.index))  # the one put in last
+
+
 def test_packer_closes_the_fullest():
     p = packing.Packer(10, 2)
     assert [p.put(n) for n in (6, 7, 2)] == [(0, 0), (1, 0), (1, 7)]
@@ -442,11 +608,26 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_archives_that_break_off(spark, tmp_path):
+    import gzip
+
+    whole = b"".join(r + b"\r\n\r\n" for k in range(3) for r in warc.records(k, "u", b"text %d" % k, hashlib.sha1(b"text %d" % k).hexdigest(), None, f"6ba7b811-9dad-11d1-80b4-00c04fd430c{k}"))
+    packed = gzip.compress(whole)
+    files = {"a.warc.gz": packed, "b.warc": whole[:-20], "c.warc.gz": packed[:-30], "d.warc.gz": gzip.compress(whole[:100]) + gzip.compress(whole[100:]), "e.warc": b"", "f.warc": b"no record"}
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(data)
+    got = {name: [(x.key, x.problem is None) for x in warc.read(spark, str(tmp_path / name)).orderBy("key").collect()] for name in files}
+    fine = [(0, True), (1, True), (2, True)]
+    assert got["a.warc.gz"] == got["d.warc.gz"] == fine and got["e.warc"] == [] and got["f.warc"] == [(None, False)]
+    assert got["b.warc"] == [(None, False), *fine[:2]] and got["c.warc.gz"][0] == (None, False) and len(got["c.warc.gz"]) <= 3
+
+
 def test_warc_notes_missing_segments():
     import pyarrow as pa
 
     ident = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
-    parts = [dict(zip(("origin", "number", "total", "kind", "key", "refers", "digest", "url", "block"), p, strict=True)) for x in warc.records(1, "u", b"q" * 50_000, "0", None, ident) for p in warc.parse(x + b"\r\n\r\n")]
+    parts = [dict(zip(("origin", "number", "total", "kind", "key", "refers", "digest", "url", "block", "wrong"), p, strict=True)) for x in warc.records(1, "u", b"q" * 50_000, "0", None, ident) for p in warc.parse(x + b"\r\n\r\n")]
     assert [p["number"] for p in parts] == [1, 2]
     out = next(warc.assemble(iter([pa.RecordBatch.from_arrays([pa.array([parts[:1], parts])], ["parts"])])))
     assert out.column("problem").to_pylist() == ["segments are missing or their length is wrong", "the digest is wrong"]
@@ -484,6 +665,26 @@ def test_audio_blocks_and_filters():
     assert audio.segments(np.array([0, 5, 3, 5, 0, 0.0])).tolist() == [[1, 3]]
 
 
+def test_audio_energies_equal_a_plain_version():
+    data = np.random.default_rng(4).integers(0, 256, 64 * 40, dtype=np.uint8)
+    x = (data.astype(np.float64) - 128) / 128
+    n = audio.UP * audio.TAPS
+    t = np.arange(n) - (n - 1) / 2
+    h = np.sinc(t / audio.DOWN) * np.hamming(n)
+    h *= audio.UP / h.sum()
+    wide = np.zeros(len(x) * audio.UP)
+    wide[:: audio.UP] = x
+    whole = np.convolve(wide, h)[(audio.TAPS - 1) * audio.UP :: 1]
+    mel = audio.log_mel(data.tobytes())
+    fits = []
+    for shift in range(audio.DOWN * audio.UP):  # the filter's delay is free
+        y = whole[shift :: audio.DOWN][: len(x) * audio.UP // audio.DOWN]
+        parts = np.stack([y[k * audio.HOP : k * audio.HOP + audio.WINDOW] for k in range(3)])
+        power = np.abs(np.fft.rfft(parts * np.hanning(audio.WINDOW), axis=1)) ** 2
+        fits.append(np.abs(np.log(power @ audio._BANDS + 1e-6) - mel[:3]).max())
+    assert min(fits) < 0.05
+
+
 def test_audio_gives_all_segments(spark, monkeypatch):
     stored = []
     write = audio.write_shared

@@ -31,3 +31,25 @@ def test_every_stage_keeps_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.schema.names == docs.schema.names and out.count() > 100
+
+
+def odd_rows(spark):
+    from tests.llm.test_operators import prose
+
+    long = prose(1, 40_000)
+    rows = [(1, None, 5), (2, "", 0), (None, prose(2, 80), None), (None, prose(2, 80), None), (3, long, 9), (4, long, 9), (5, prose(3, 70), 1), (5, prose(4, 70), 1), (6, "   ", 3)]
+    names = "doc_id bigint, text string, n_chars int, clean string, removed_lines int, tid string, key string, keep string, `a.b` string, id int, h int, lines string"
+    return spark.createDataFrame([(*r, "c", 1, "t", "k", "p", "x", 7, 8, "l") for r in rows], names)
+
+
+def test_stages_with_nulls_ties_and_clashing_names(spark):
+    docs = odd_rows(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table, most in ((docs, 9), (docs.where("false"), 0)):
+            out = stage(spark, table, "/root/testdata/sf0.001")
+            assert out.schema.names == docs.schema.names, name
+            got = out.collect()
+            assert len(got) <= most and (not most or {1, 2, 3, 5, 6} <= {x.doc_id for x in got} and all((x.clean, x.tid, x["a.b"], x.lines) == ("c", "t", "x", "l") for x in got)), name
+            if name == "near_dedup" and most:
+                assert sorted((x.doc_id or 0, x.text is None) for x in got) == [(0, False), (1, True), (2, False), (3, False), (5, False), (5, False), (6, False)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 9
