@@ -1,4 +1,10 @@
-"""From documents to packed sequences: toxicity, line dedup, near-dedup, decontamination, packing."""
+"""From documents to packed sequences: toxicity, line dedup, near-dedup, decontamination, packing.
+
+Defined results of all stages: a null text counts as empty and is neither toxic nor a copy nor a leak, so it stays; a null
+doc_id is an id like others; rows that repeat are one class for the near-dedup stage, which keeps one of them; an empty table
+gives an empty one with the same columns; columns beside doc_id, text and n_chars are passed on as they are, whatever their
+names. A text of any length is judged whole.
+"""
 
 from __future__ import annotations
 
@@ -6,34 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, linechunks, omh, packing, toxicity
-from docloom.llm.common import write_shared
+from docloom.llm.common import unused, write_shared
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be toxic go."""
+    """Documents predicted to be toxic go; texts without words have the score of no evidence."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts; documents of which nothing is left go. n_chars follows the text."""
-    found = linechunks.clean(docs)
-    found = found.where((F.col("removed_lines") == 0) | (F.col("clean") != ""))
-    out = {"text": F.col("clean")} | ({"n_chars": F.when(F.col("removed_lines") > 0, F.length("clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    """Repeated passages go from the texts; documents of which nothing is left go, those empty before stay. n_chars, where
+    there is one, follows the text of documents that changed."""
+    text, count = unused(docs, "clean"), unused(docs, "removed_lines")
+    found = linechunks.clean(docs, text, count)
+    found = found.where((F.col(count) == 0) | (F.col(text) != ""))
+    out = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col(count) > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, that with the smallest doc_id; ties go by the text's key, null ids come last."""
     return omh.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; an empty benchmark drops none."""
     return decontaminate.remove_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences; an empty text is one piece of length 1."""
     return packing.pack(docs)
 
 
