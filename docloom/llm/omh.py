@@ -41,8 +41,8 @@ BANDS, ROWS = 16, 2
 LONG = 50_000
 #: Shingles and texts of a block of a bucket.
 BLOCK, MEMBERS = 400_000, 1000
-#: A shingle in so many pairs of members is counted by a product of matrices, any other pair by pair.
-COMMON = 4096
+#: A shingle in so many pairs of members is counted by a product of matrices, any other pair by pair, PAIRS at once.
+COMMON, PAIRS = 1024, 500_000
 
 _seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _seeds[::2], _seeds[1::2] | np.uint64(1)
@@ -207,9 +207,9 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     nx, ny = len(x), len(y)
     ids, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
     cut = sum(map(len, x))
-    owner = np.concatenate([np.repeat(np.arange(nx), [len(v) for v in x]), np.repeat(np.arange(ny), [len(v) for v in y])])
+    owner = np.concatenate([np.repeat(np.arange(nx), [len(v) for v in x]), np.repeat(np.arange(ny), [len(v) for v in y])]).astype(np.int32)
     bx, by = np.bincount(at[:cut], minlength=len(ids)), np.bincount(at[cut:], minlength=len(ids))
-    out = np.zeros(nx * ny, np.int64)
+    out = np.zeros(nx * ny, np.int32)
     light = (bx > 0) & (by > 0) & (bx * by <= COMMON)
     order = np.argsort(at[cut:], kind="stable")
     members, first = owner[cut:][order], np.cumsum(by) - by
@@ -217,11 +217,13 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     many = by[at[asks]]
     ends = np.cumsum(many)
     lo = 0
-    while lo < len(asks):  # some million pairs at once
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000, "right")))
+    while lo < len(asks):  # so many pairs at once
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
         n, e = many[lo:hi], asks[lo:hi]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out += np.bincount(np.repeat(owner[e], n) * ny + members[np.repeat(first[at[e]], n) + step], minlength=nx * ny)
+        step = np.arange(int(n.sum()), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+        pair = np.repeat(owner[e] * np.int32(ny), n) + members[np.repeat(first[at[e]].astype(np.int32), n) + step]
+        ids_, times = np.unique(pair, return_counts=True)
+        out[ids_] += times.astype(np.int32)
         lo = hi
     out = out.reshape(nx, ny)
     heavy = np.flatnonzero((bx > 0) & (by > 0) & ~light)
@@ -234,7 +236,7 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
         for table, part in ((p, slice(None, cut)), (q, slice(cut, None))):
             here = np.flatnonzero(place[at[part]] >= 0)
             table[owner[part][here], place[at[part]][here]] = 1
-        out += (p @ q.T).astype(np.int64)
+        out += (p @ q.T).astype(np.int32)
     return out
 
 
