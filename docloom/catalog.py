@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import fixed, text
 from docloom.functions.text import sql_literal as lit
-from docloom.operators import clinical, hashing, pii, quality, relevance, reports, similarity, templates, timeline
+from docloom.operators import clinical, hashing, pii, quality, relevance, reports, scrub, similarity, templates, timeline
 from docloom.plans import compression
 from docloom.sources import files, sinks
 
@@ -102,17 +102,19 @@ def words_table(spark, sf_dir):
 with w as (select l_orderkey doc_id, case when l_quantity > 45 then '|||' else l_linestatus end t, l_quantity * 2 confidence from lineitem),
 m as (select doc_id, count(*) n_words, median(confidence) median_confidence, avg(confidence) mean_confidence, min(confidence) min_confidence,
   sum(len(regexp_extract_all(t, '[a-zA-Z]')))::double / sum(length(t)) alpha_ratio, avg(case when t = '|||' then 1.0 else 0.0 end) garbage_ratio from w group by doc_id),
-s as (select *, greatest(0.0, least(1.0, 0.5 * median_confidence / 100 + 0.25 * least(alpha_ratio / 0.6, 1.0) - 0.25 * least(garbage_ratio / 0.2, 1.0) - case when n_words < 10 then 0.1 else 0.0 end)) score from m)
+s as (select *, greatest(0.0, least(1.0, 0.5 * median_confidence / 100 + 0.25 * least(alpha_ratio / 0.5, 1.0) - 0.25 * least(garbage_ratio / 0.15, 1.0) - case when n_words < 10 then 0.1 else 0.0 end)) score from m)
 select doc_id, n_words, round(median_confidence, 6) median_confidence, round(mean_confidence, 6) mean_confidence, round(min_confidence, 6) min_confidence,
-  round(alpha_ratio, 6) alpha_ratio, round(garbage_ratio, 6) garbage_ratio, round(score, 6) score from s""")
+  round(alpha_ratio, 6) alpha_ratio, round(garbage_ratio, 6) garbage_ratio, round(score, 6) score, case when score >= 0.7 then 'HIGH' when score >= 0.4 then 'MEDIUM' else 'LOW' end as level,
+  array_to_string(list_filter([case when median_confidence < 60 then 'LOW_CONFIDENCE' end, case when garbage_ratio > 0.15 then 'HIGH_GARBAGE_DENSITY' end, case when alpha_ratio < 0.5 then 'LOW_ALPHA_RATIO' end,
+   case when n_words < 10 then 'SPARSE_TEXT' end, case when score < 0.7 then 'NEEDS_MANUAL_REVIEW' end], lambda x: x is not null), ',') flags from s""")
 def ocr_word_quality(spark, sf_dir):
     out = quality.word_quality(words_table(spark, sf_dir))
-    return out.select("doc_id", "n_words", *[r6(c) for c in ("median_confidence", "mean_confidence", "min_confidence", "alpha_ratio", "garbage_ratio", "score")])
+    return out.select("doc_id", "n_words", *[r6(c) for c in ("median_confidence", "mean_confidence", "min_confidence", "alpha_ratio", "garbage_ratio", "score")], "level", F.array_join("flags", ",").alias("flags"))
 
 
 @query(r"""
-with w as (select l_orderkey doc_id, l_linenumber i, l_linenumber * 60 x, l_quantity * 2 c from lineitem where l_quantity * 2 < 60),
-g as (select *, case when x - (lag(x) over p + 50) >= 50 then 1 else 0 end brk from w window p as (partition by doc_id order by i)),
+with w as (select l_orderkey doc_id, l_linenumber i, l_linenumber * 60 x, l_quantity * 2 c from lineitem where l_quantity * 2 < 50),
+g as (select *, case when abs(x - (lag(x) over p + 50)) >= 50 then 1 else 0 end brk from w window p as (partition by doc_id order by i)),
 r as (select *, sum(brk) over (partition by doc_id order by i) region from g)
 select doc_id, count(*) n_words, region::bigint region, min(x)::double x, max(x + 50)::double "right", round(avg(c), 6) confidence from r where region < 10 group by doc_id, region""".replace("count(*) n_words, ", ""))
 def ocr_low_regions(spark, sf_dir):
@@ -173,7 +175,15 @@ def simhash(spark, sf_dir):
     return hashing.simhash(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"""
+with h as (select doc_id, list_filter(string_split({NORM}, ' '), lambda w: length(w) > 2) ws from documents),
+w as (select doc_id, unnest(ws) w from h), d as (select distinct w from w),
+k as (select w, list_reduce(list_prepend(0::bigint, list_transform(string_split(w, ''), lambda c: ord(c)::bigint)), lambda s, c: (s * 31 + c) & 4294967295) k from d),
+v as (select doc_id, b, sum((k >> b) & 1) ones, count(*) n from w join k using (w), range(32) t(b) group by doc_id, b),
+s as (select doc_id, sum(case when 2 * ones > n then 1::bigint << b::int else 0 end)::bigint simhash from v group by doc_id union all select doc_id, 0 from h where len(ws) = 0),
+p as materialized (select simhash, min(doc_id) doc_id, count(*) docs from s group by simhash)
+select least(x.doc_id, y.doc_id) a, greatest(x.doc_id, y.doc_id) b, x.docs + y.docs docs, 'near' relation from p x join p y on x.simhash < y.simhash and bit_count(xor(x.simhash, y.simhash)) = 1
+union all select p.doc_id, s.doc_id, p.docs, 'member' from s join p using (simhash)""")
 def near_prints(spark, sf_dir):
     return hashing.near_prints(table(spark, sf_dir, "documents"))
 
@@ -233,17 +243,17 @@ def assert_scrubbed(spark, sf_dir):
 
 @query()
 def pii_scrub(spark, sf_dir):
-    return pii.scrub(table(spark, sf_dir, "documents")).select("doc_id", "text", "count")
+    return scrub.scrub(table(spark, sf_dir, "documents")).select("doc_id", "text", "count")
 
 
 @query()
 def pii_scrub_worker(spark, sf_dir):
-    return pii.scrub(table(spark, sf_dir, "documents"), "worker").select("doc_id", "text", "count")
+    return scrub.scrub(table(spark, sf_dir, "documents"), "worker").select("doc_id", "text", "count")
 
 
 @query()
 def placeholder_counts(spark, sf_dir):
-    return pii.placeholder_counts(pii.scrub(table(spark, sf_dir, "documents")))
+    return pii.placeholder_counts(scrub.scrub(table(spark, sf_dir, "documents")))
 
 
 # templates
@@ -269,7 +279,7 @@ def template_strip_lite(spark, sf_dir):
 
 @query(r"""
 with d as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: lower(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) ls from documents),
-g as (select doc_id, k::int size, i at_line, array_to_string(ls[i + 1:i + k], chr(10)) content from d, range(2, 6) a(k), range(0, 2000) b(i) where i + k <= len(ls)),
+g0 as (select doc_id, ls, k::int size, unnest(range(0, greatest(0, len(ls) - k + 1))) at_line from d, range(2, 6) a(k)), g as (select doc_id, size, at_line, array_to_string(ls[at_line + 1:at_line + size], chr(10)) content from g0),
 f as (select sha256(content) as "key", size, doc_id, min(at_line) at_line from g where length(regexp_replace(content, '\s+', '', 'g')) >= 10 group by all)
 select "key", size, count(*) documents, round(avg(at_line), 6) avg_line, min(doc_id) first_doc from f group by "key", size having count(*) >= 3""")
 def template_ngrams(spark, sf_dir):
@@ -292,7 +302,19 @@ def jaccard_pairs(spark, sf_dir):
     return similarity.jaccard_pairs(table(spark, sf_dir, "documents")).select("a", "b", r6("similarity"))
 
 
-@query()
+# A document follows the smallest leader it is like: settled one by one in the order of doc_id.
+LEADER_SQL = rf"""
+s as materialized (select doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda w: length(w) > 3))) ws from SOURCE),
+f as (select min(doc_id) doc_id, ws, len(ws) n from s where len(ws) > 0 group by ws),
+p as materialized (select a.doc_id a, b.doc_id b from f a join f b on a.doc_id < b.doc_id and least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) where len(list_intersect(a.ws, b.ws))::double / (a.n + b.n - len(list_intersect(a.ws, b.ws))) >= 0.85),
+o as materialized (select doc_id, row_number() over (order by doc_id) i from f), q as materialized (select b, list(a order by a) before from p group by b),
+w(i, leaders, leader, doc_id) as (select 0::bigint, []::bigint[], null::bigint, null::bigint union all
+ select w.i + 1, case when len(list_filter(coalesce(q.before, []), lambda x: list_contains(w.leaders, x))) > 0 then w.leaders else list_append(w.leaders, o.doc_id) end,
+  coalesce(list_filter(coalesce(q.before, []), lambda x: list_contains(w.leaders, x))[1], o.doc_id), o.doc_id from w join o on o.i = w.i + 1 left join q on q.b = o.doc_id),
+l as materialized (select s.doc_id, case when len(s.ws) = 0 then s.doc_id else w.leader end leader_id from s left join f using (ws) left join w on w.doc_id = f.doc_id)"""
+
+
+@query(f"with recursive {LEADER_SQL.replace('SOURCE', 'documents')} select doc_id, leader_id from l")
 def jaccard_leader_dedup(spark, sf_dir):
     return similarity.leaders(table(spark, sf_dir, "documents"))
 
@@ -378,23 +400,6 @@ def prev_panel_trend(spark, sf_dir):
     return timeline.previous(rows, "patient", "line", "day", "value").select("patient", "line", "value", "previous", r6("change_pct"))
 
 
-@query(" union all ".join(f"select doc_id, {lit(k)} sign, regexp_extract(text, {lit(p)}, 1)::double as value from {NOTE_SQL} where regexp_extract(text, {lit(p)}, 1) <> ''" for k, p in fixed.VITALS.items()))
-def vitals(spark, sf_dir):
-    return clinical.vitals(notes(spark, sf_dir))
-
-
-@query()
-def medications(spark, sf_dir):
-    return clinical.medications(notes(spark, sf_dir))
-
-
-@query("""
-select p_partkey doc_id, 1 line_no, 'SECONDARY' kind, 'Chronic ' || p_name diagnosis, null::varchar icd10 from part union all select p_partkey, 3, 'DISCHARGE', 'Asthma J45.' || (p_size % 10)::varchar, 'J45.' || (p_size % 10)::varchar from part""")
-def diagnoses(spark, sf_dir):
-    parts = (F.lit("Assessment:"), F.concat(F.lit("Chronic "), F.col("p_name")), F.lit("Plan:"), F.concat(F.lit("Discharge Diagnosis: Asthma J45."), (F.col("p_size") % 10).cast("string")))
-    return clinical.diagnoses(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *parts).alias("text")))
-
-
 @query(rf"""select doc_id, least({n_of(r'(?i)\b(?:diagnos|assessment|impression|A\/P)')}, 10) diagnoses, least({n_of(r'(?i)\b(?:mg|mcg|tablet|capsule|PO|IV)\b')} / 2.0::double, 20.0) medications,
  {n_of(r'(?i)\b(?:WBC|HGB|PLT|Na|K|Cr|BUN|glucose)\b')} labs, least({n_of(r'\b(?:H|L|HIGH|LOW|CRIT)\b')}, {n_of(r'(?i)\b(?:WBC|HGB|PLT|Na|K|Cr|BUN|glucose)\b')}) abnormal_labs from {NOTE_SQL}""")
 def extraction_counts(spark, sf_dir):
@@ -504,15 +509,21 @@ def html_to_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.html_to_markdown("html").alias("markdown"))
 
 
-@query()
+@query(r"""
+with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) i, regexp_replace(unnest(string_split(text, chr(10))), '\s+$', '') x from documents),
+k as (select *, lag(x) over (partition by doc_id order by i) p from l),
+c as (select doc_id, string_agg(x, chr(10) order by i) t from k where not (p is not null and x = p and length(x) > 0 and length(x) < 50) group by doc_id)
+select doc_id, '---' || chr(10) || 'source_file: "' || doc_id || '"' || chr(10) || 'language: "' || lang || '"' || chr(10) || 'characters: "' || length(text) || '"' || chr(10) || '---' || chr(10) || chr(10) || '# Document Extraction' || chr(10) || chr(10)
+ || regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) || chr(10) || '---' || chr(10)
+ || '*CONFIDENTIALITY NOTICE: This document has been automatically scrubbed of PII. Original entities replaced: 0.*' markdown from c join documents using (doc_id)""")
 def markdown_doc(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     fields = {"source_file": F.col("doc_id"), "language": F.col("lang"), "characters": F.length("text")}
     return sinks.markdown(docs, fields, F.lit(0))
 
 
-@query("""with c as (select doc_id, text, greatest(0, ceil((length(text) - 512) / 462.0))::int m from documents)
-select doc_id, k::int k, md5(substring(text, k * 462 + 1, 512)) chunk_md5 from c, range(0, 1000) t(k) where k <= m""")
+@query("""with c as (select doc_id, text, greatest(0, ceil((length(text) - 512) / 462.0))::int m from documents),
+e as (select doc_id, text, unnest(range(0, m + 1)) k from c) select doc_id, k::int k, md5(substring(text, k * 462 + 1, 512)) chunk_md5 from e""")
 def chunk_text(spark, sf_dir):
     each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"), 512, 50)).alias("k", "chunk"))
     return each.select("doc_id", "k", F.md5(F.encode("chunk", "UTF-8")).alias("chunk_md5"))
@@ -521,14 +532,55 @@ def chunk_text(spark, sf_dir):
 # the compression pipeline
 
 
-@query()
+QUALITY_SQL = rf"""m as (select doc_id, text, {n_of('[a-zA-Z]')}::double / greatest(length(text), 1) alpha, {n_of(chr(92) + 's')} sp, length(text) n, len({WORDS}) n_words from documents),
+g as materialized (select doc_id, text, (case when alpha > 0.5 then 0.3::double else 0.0::double end) + (case when sp::double / greatest(n, 1) > 0.1 and sp::double / greatest(n, 1) < 0.3 then 0.2::double else 0.0::double end)
+ + (case when n_words > 0 and (n - sp)::double / n_words > 3 and (n - sp)::double / n_words < 15 then 0.3::double else 0.0::double end) + (case when n_words > 10 then 0.2::double else 0.0::double end) score from m)"""
+FACTS_SQL = f"least({n_of(fixed.LITE_DIAGNOSIS)}, 10) diagnoses, least({n_of(fixed.LITE_MEDICATION)} / 2.0::double, 20.0) medications, {n_of(fixed.LITE_LAB)} labs, least({n_of(fixed.LITE_FLAG)}, {n_of(fixed.LITE_LAB)}) abnormal_labs"
+TOLD_SQL = rf"""left(array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S') and (regexp_matches(x, {lit(fixed.LITE_KEYS[0])}) or regexp_matches(x, {lit(fixed.LITE_KEYS[1])})))[1:10], chr(10)), 1000) narrative"""
+COMPRESSION_SQL = rf"""with recursive {QUALITY_SQL},
+v as (select * from g where score >= 0.4), tl as (select distinct doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') line from v),
+tt as materialized (select line from tl where length(line) >= 20 group by line having count(*) >= greatest(2, floor((select count(*) from v) * 0.5))),
+tx as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) i, unnest(string_split(text, chr(10))) raw from v),
+lv as materialized (select v.doc_id, coalesce(string_agg(raw, chr(10) order by i) filter (where regexp_replace(raw, '^\s+|\s+$', '', 'g') not in (select line from tt)), '') as text from v join tx using (doc_id) group by v.doc_id),
+{LEADER_SQL.replace('SOURCE', 'lv')},
+k as (select lv.doc_id, nullif(leader_id, lv.doc_id) duplicate_of, length(text) kept_chars, {FACTS_SQL}, {TOLD_SQL} from lv join l using (doc_id)),
+r as (select g.doc_id, length(text)::int original_chars, score, score >= 0.4 passed, duplicate_of, case when duplicate_of is null then kept_chars end::int kept_chars, case when duplicate_of is null then diagnoses end::int diagnoses,
+ case when duplicate_of is null then medications end medications, case when duplicate_of is null then labs end::int labs, case when duplicate_of is null then abnormal_labs end::int abnormal_labs, case when duplicate_of is null then narrative end narrative from g left join k using (doc_id)),
+z as (select *, coalesce(nullif(kept_chars, 0), case when passed and duplicate_of is null then original_chars else 0 end)::int final_chars from r)"""
+
+
+@query(COMPRESSION_SQL + " select doc_id, original_chars, round(score, 6) quality, passed, duplicate_of::double duplicate_of, kept_chars::double kept_chars, diagnoses::double diagnoses, medications, labs::double labs, abnormal_labs::double abnormal_labs, md5(narrative) narrative_md5, final_chars from z")
 def compression_documents(spark, sf_dir):
-    return compression.run(table(spark, sf_dir, "documents"))
+    out = compression.run(table(spark, sf_dir, "documents"))
+    whole = {c: F.col(c).cast("double") for c in ("duplicate_of", "kept_chars", "diagnoses", "labs", "abnormal_labs")}
+    return out.withColumns({"quality": F.round("quality", 6), "narrative_md5": F.md5(F.encode("narrative", "UTF-8"))} | whole).drop("narrative")
 
 
-@query()
+@query(COMPRESSION_SQL + """ select count(*) documents, count(*) filter (where final_chars > 0) successful, count(*) filter (where final_chars = 0) failed, count(*) filter (where passed) passed, count(duplicate_of) duplicates,
+ sum(original_chars)::bigint original_chars, sum(kept_chars)::bigint output_chars, sum(length(narrative))::bigint narrative_chars, sum(diagnoses)::bigint diagnoses, sum(medications) medications, sum(labs)::bigint labs, sum(abnormal_labs)::bigint abnormal_labs,
+ round(1 - (case when sum(length(narrative)) > 0 then sum(length(narrative)) else sum(kept_chars) end)::double / sum(original_chars), 6) ratio from z""")
 def compression_totals(spark, sf_dir):
-    return compression.totals(compression.run(table(spark, sf_dir, "documents")))
+    return compression.totals(compression.run(table(spark, sf_dir, "documents"))).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"""with {QUALITY_SQL} select doc_id, length(text)::int original_chars, case when score >= 0.4 then length(text) else 0 end::int final_chars, round(score, 6) quality, score >= 0.4 passed,
+ case when score >= 0.4 then least({n_of(fixed.LITE_DIAGNOSIS)}, 10) + least({n_of(fixed.LITE_MEDICATION)} / 2.0::double, 20.0) + {n_of(fixed.LITE_LAB)} end extractions,
+ case when score < 0.4 then 'OCR quality too low: ' || printf('%.0f', score * 100) || '%' when score < 0.6 then 'Low OCR quality: ' || printf('%.0f', score * 100) || '%' else '' end warnings from g""")
+def compression_single(spark, sf_dir):
+    out = compression.single(table(spark, sf_dir, "documents")).drop("narrative")
+    return out.withColumns({"quality": F.round("quality", 6), "warnings": F.array_join("warnings", ",")})
+
+
+@query(f"""with {QUALITY_SQL} select 'OCR_QUALITY' stage, 'OCR Quality Gate' title, count(*) documents_in, count(*) filter (where score >= 0.4) documents_out, count(*) filter (where score < 0.4) left_out from g
+union all select 'NARRATIVE_GENERATION', 'Narrative Generation', count(*), count(*), 0 from g""")
+def compression_stages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return compression.stage("OCR_QUALITY", docs).union(compression.stage("NARRATIVE_GENERATION", docs))
+
+
+@query("select 0.7::double ratio, floor(sum(length(text)) * (1 - 0.7::double) + 0.5)::bigint output_chars from documents")
+def compression_estimate(spark, sf_dir):
+    return compression.estimate(table(spark, sf_dir, "documents"))
 
 
 # records of reports
@@ -603,12 +655,13 @@ def report_pathology(spark, sf_dir):
 
 
 @query("""
-select a.vec_id a, b.vec_id b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double)))), 6) distance
-from embeddings a join embeddings b on a.label = b.label and b.vec_id = a.vec_id + 10""")
+with x as (select vec_id, label, generate_subscripts(embedding, 1) i, unnest(embedding)::double v from embeddings), c as (select label, i, avg(v) m from x group by label, i)
+select vec_id, label, round(sqrt(sum((v - m) * (v - m))), 6) distance from x join c using (label, i) group by vec_id, label""")
 def euclidean_distances(spark, sf_dir):
+    """Each vector's distance to the centroid of its label."""
     v = table(spark, sf_dir, "embeddings")
-    both = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")).join(v.select((F.col("vec_id") - 10).alias("a"), F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), ["a", "label"])
-    return both.select("a", "b", F.round(similarity.euclidean(F.col("x"), F.col("y")), 6).alias("distance"))
+    each = similarity.pooled(v, "label").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("centroid"))
+    return v.join(each, "label").select("vec_id", "label", F.round(similarity.euclidean(F.col("embedding"), F.col("centroid")), 6).alias("distance"))
 
 
 @query(f"""
@@ -617,3 +670,6 @@ r(n, m) as (select vec_id, vec_id from embeddings union select e.a, r.m from r j
 select sum(k)::bigint as total, count(*) as unique_rows, count(*) filter (where k = 1) singletons, (sum(k) - count(*))::bigint removed, round((sum(k) - count(*)) / sum(k)::double, 6) reduction from g""")
 def dedup_stats(spark, sf_dir):
     return similarity.statistics(similarity_clusters(spark, sf_dir)).withColumn("reduction", F.round("reduction", 6))
+
+
+from docloom import catalog_records, catalog_timelines  # noqa: E402, F401  they register further queries

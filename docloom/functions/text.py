@@ -23,11 +23,19 @@ def java_lead(pattern: str) -> str:
     return java(pattern.replace(r"(?i)\b", r"(?i)(?<![A-Za-z0-9_])", 1))
 
 
-def names(pattern: str) -> list[str]:
-    """The literal words, in upper case, one of which a pattern of the form (?i)\\bWORD... or (?i)\\b(?:WORD|WORD)... starts with."""
+def alternatives(pattern: str) -> str:
+    """The words, as patterns, one of which a pattern of the form (?i)\\bWORD... or (?i)\\b(?:WORD|WORD)... starts with."""
     found = re.match(r"\(\?i\)\\b(?:\(\?:([^)]*)\)|([A-Za-z0-9]+))", pattern)
-    words = (found[1] or found[2]).split("|")
-    return [re.match(r"[A-Za-z0-9]+", re.sub(r"[a-z0-9]\?", "", w))[0].upper() for w in words]
+    return found[1] or found[2]
+
+
+def names(pattern: str) -> list[str]:
+    """All spellings of these words, in upper case and without white space."""
+    out = []
+    for word in alternatives(pattern).split("|"):
+        word = word.replace(r"\s*", "")
+        out += [re.sub(r".\?", "", word).upper(), word.replace("?", "").upper()]
+    return list(dict.fromkeys(out))
 
 
 def rlike(col: Column, pattern: str) -> Column:
@@ -89,5 +97,38 @@ def sql_literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: White space beyond ASCII that the patterns' \\s has.
+_WIDE = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def python(pattern: str) -> re.Pattern:
-    return re.compile(pattern, re.ASCII)
+    """A pattern for Python: words and digits are ASCII, white space is not."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\s":
+            out.append(two + _WIDE if inside else rf"[\s{_WIDE}]")
+            at += 2
+        elif two[0] == "\\":
+            out.append(two)
+            at += 2
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            at += 1
+    return re.compile("".join(out), re.ASCII)
+
+
+def number(col: Column) -> Column:
+    """A number as it is written without needless decimals: 8.0 as 8."""
+    whole = (col == F.floor(col)) & (F.abs(col) < 1e15)
+    return F.when(whole, col.cast("bigint").cast("string")).otherwise(col.cast("string"))
+
+
+def fixed_decimals(col: Column, n: int) -> Column:
+    return F.format_string(f"%.{n}f", col.cast("double"))
+
+
+def truncated(col: Column, most: int) -> Column:
+    """A text of most characters; what is longer ends in three dots."""
+    return F.when(F.length(col) <= most, col).otherwise(F.concat(F.left(col, F.lit(most - 3)), F.lit("...")))

@@ -61,17 +61,19 @@ def simhash(docs: DataFrame) -> DataFrame:
 
 
 def near_prints(docs: DataFrame) -> DataFrame:
-    """Pairs of documents whose fingerprints are equal or one bit of 32 apart (similarity 0.95 or more).
+    """Documents whose fingerprints are equal or one bit of 32 apart (similarity 0.95 or more).
 
-    Equal fingerprints meet once: distinct prints are paired over the 32 one-bit masks by an equi-join; the
-    result names the smallest document of each print and how many documents share it.
+    Equal fingerprints meet once: distinct prints are paired over the 32 one-bit masks by an equi-join. relation near: the smallest
+    documents of two prints and how many documents share them; member: the smallest document of a print and each that has it.
     """
-    prints = simhash(docs).groupBy("simhash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("docs"))
-    masks = prints.select("doc_id", "simhash", "docs", F.explode(F.expr("transform(sequence(0, 31), i -> simhash ^ shiftleft(1L, i))")).alias("near"))
-    other = prints.select(F.col("simhash").alias("near"), F.col("doc_id").alias("other_id"), F.col("docs").alias("other_docs"))
-    return masks.join(other, "near").where("simhash < near").select(
-        F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b"), (F.col("docs") + F.col("other_docs")).alias("docs")
+    each = simhash(docs)
+    prints = each.groupBy("simhash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("docs"))
+    masks = prints.select("first", "simhash", "docs", F.explode(F.expr("transform(sequence(0, 31), i -> simhash ^ shiftleft(1L, i))")).alias("near"))
+    other = prints.select(F.col("simhash").alias("near"), F.col("first").alias("other_id"), F.col("docs").alias("other_docs"))
+    pairs = masks.join(other, "near").where("simhash < near").select(
+        F.least("first", "other_id").alias("a"), F.greatest("first", "other_id").alias("b"), (F.col("docs") + F.col("other_docs")).alias("docs"), F.lit("near").alias("relation")
     )
+    return pairs.union(each.join(prints, "simhash").select(F.col("first"), F.col("doc_id"), "docs", F.lit("member")))
 
 
 def fingerprints(docs: DataFrame, name: str | None = None) -> DataFrame:

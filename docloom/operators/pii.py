@@ -1,10 +1,7 @@
-"""Personal data: mentions, counts, audit, checks, and sequential masking with numbered placeholders."""
+"""Personal data: mentions, counts, audit and checks. Masking is in scrub.py."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +14,11 @@ def mentions(docs: DataFrame, kind: str, pattern: str | None = None) -> DataFram
     return docs.where("text is not null").select("doc_id", F.posexplode(found).alias("position", "value"))
 
 
+def values(docs: DataFrame, pattern: str, group: int) -> DataFrame:
+    """doc_id, position and value of a group of each match of a pattern."""
+    return docs.where("text is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(text.java(pattern)), F.lit(group))).alias("position", "value"))
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id and the number of matches of each kind, for documents with any, a row for each kind."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), text.count(F.col("text"), p).alias("n")) for k, p in fixed.PII.items() if k not in ("ADDRESS", "CITY_STATE")])
@@ -51,49 +53,3 @@ def placeholder_counts(docs: DataFrame) -> DataFrame:
     """doc_id, kind and number of placeholders in scrubbed texts."""
     each = docs.where("text is not null").select("doc_id", F.explode(placeholders(F.col("text"))).alias("p"))
     return each.groupBy("doc_id", F.regexp_extract("p", r"\[([A-Z_]+)_\d+\]", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
-# Kinds masked in order: counter, pattern, prefix of the placeholder.
-ORDER = [
-    ("EMAIL", "EMAIL", "EMAIL"), ("PHONE", "PHONE", "PHONE"), ("ID", "SSN", "SSN"), ("ID", "CREDIT_CARD", "CARD"), ("LOC", "ZIPCODE", "ZIP"),
-    ("DATE", "DATE", "DATE"), ("PER", "FULL_NAME", "PER"), ("LOC", "ADDRESS", "ADDR"), ("LOC", "CITY_STATE", "LOC"), ("LOC", "PO_BOX", "POBOX"),
-]
-_MRN = re.compile(r"(" + "|".join(fixed.MRN_KEYWORDS) + r")[:\s]+([A-Z0-9]{6,12})\b", re.I | re.A)
-_PATTERNS = {k: text.python(p) for k, p in (fixed.PII | {"FULL_NAME": fixed.FULL_NAME}).items()}
-
-
-def mask(content: str, backward: bool = True) -> tuple[str, dict[str, str]]:
-    """Masked text and placeholders by original. Equal values share one; numbers run from the last match to the first, or forward."""
-    found: dict[str, str] = {}
-    numbers: dict[str, int] = {}
-
-    def name(counter: str, prefix: str, value: str) -> str:
-        if value not in found:
-            numbers[counter] = numbers.get(counter, 0) + 1
-            found[value] = f"[{prefix}_{numbers[counter]}]"
-        return found[value]
-
-    for counter, kind, prefix in ORDER:
-        spans = [m.span() for m in _PATTERNS[kind].finditer(content)]
-        names = {s: name(counter, prefix, content[s[0] : s[1]]) for s in (reversed(spans) if backward else spans)}
-        out, at = [], 0
-        for s in spans:
-            out += [content[at : s[0]], names[s]]
-            at = s[1]
-        content = "".join(out) + content[at:]
-    for m in list(_MRN.finditer(content)):
-        content = content.replace(m[2], name("ID", "MRN", m[2]))
-    return content, found
-
-
-def scrub(docs: DataFrame, profile: str = "main") -> DataFrame:
-    """doc_id, text (masked), replacements (map) and count, by sequential masking; profile main numbers backward, worker forward."""
-    backward = profile == "main"
-
-    @F.pandas_udf("text string, replacements array<struct<original:string,placeholder:string>>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [mask(t, backward) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in done], "replacements": [[{"original": k, "placeholder": v} for k, v in r.items()] for _, r in done]})
-
-    out = docs.where("text is not null").select("doc_id", run("text").alias("r"))
-    return out.select("doc_id", "r.text", F.map_from_entries("r.replacements").alias("replacements"), F.size("r.replacements").alias("count"))

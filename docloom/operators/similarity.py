@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Vectors of a block and of a tile of the comparison of all pairs.
+BLOCK, TILE = 20_000, 2000
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table in the folder of spark.checkpoint.dir (one of the session's own where that is unset)."""
     spark: SparkSession = df.sparkSession
@@ -63,6 +67,17 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
 
 
+def normalized(a: Column) -> Column:
+    """A vector of length 1 in the same direction; a vector without length stays as it is."""
+    n = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), x.cast("double")))
+
+
+def checked_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; an error where their lengths differ."""
+    return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different dimensions"))).otherwise(cosine(a, b))
+
+
 def statistics(found: DataFrame) -> DataFrame:
     """Of a table with the column cluster: total, unique_rows (clusters), singletons, removed, reduction (0 for no rows)."""
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"))
@@ -73,9 +88,10 @@ def statistics(found: DataFrame) -> DataFrame:
 def cosine_pairs(vectors: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs a < b of vectors with a cosine of least or more and how they are related.
 
-    Exact, in blocks: vectors are normalised once and dealt into blocks, and each pair of blocks is a product of matrices.
+    Exact, in blocks of BLOCK vectors, each pair of which is a task; in a task tiles of TILE vectors are multiplied in single precision
+    and what comes near the threshold is computed again in double. Time grows with the square of the vectors, memory does not.
     """
-    blocks = max(1, int(vectors.count() ** 0.5 // 64) + 1)
+    blocks = max(1, -(-vectors.count() // BLOCK))
     rows = vectors.select("vec_id", "embedding").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("vec_id", "embedding", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
@@ -87,12 +103,21 @@ def cosine_pairs(vectors: DataFrame, least: float = 0.5) -> DataFrame:
         v = np.array(table.column("embedding").to_pylist(), dtype=np.float64)
         length = np.sqrt((v * v).sum(axis=1, keepdims=True))
         v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
-        sims = v @ v.T
-        good = (sims >= least) & (ids[:, None] < ids[None, :])
-        if table.column("lo")[0].as_py() != table.column("hi")[0].as_py():
-            good &= own[:, None] != own[None, :]
-        i, j = np.nonzero(good)
-        return pa.table({"a": pa.array(ids[i]), "b": pa.array(ids[j]), "similarity": pa.array(sims[i, j])})
+        near = v.astype(np.float32)
+        cross = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        out = []
+        for p in range(0, len(v), TILE):
+            for q in range(p, len(v), TILE):
+                i, j = np.nonzero(near[p : p + TILE] @ near[q : q + TILE].T >= least - 1e-4)
+                i, j = i + p, j + q
+                keep = (i < j) & (own[i] != own[j] if cross else True)
+                i, j = i[keep], j[keep]
+                sims = np.einsum("ij,ij->i", v[i], v[j])
+                good = sims >= least
+                a, b = ids[i[good]], ids[j[good]]
+                out.append((np.minimum(a, b), np.maximum(a, b), sims[good]))
+        a, b, sims = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(sims, pa.float64())})
 
     out = dealt.groupBy("lo", "hi").applyInArrow(compare, "a bigint, b bigint, similarity double")
     kind = F.when(F.col("similarity") >= 0.95, "DUPLICATE").when(F.col("similarity") >= 0.85, "SIMILAR").otherwise("RELATED")

@@ -42,14 +42,14 @@ def validate(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """filename, mime, size and text of text files; other kinds have a null text for the parsers of other formats."""
+    """path, filename, mime, size, content and text of files; other kinds than texts have a null text for the parsers of other formats (pages.parsed)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = extension(F.col("path"))
     mime = F.when(ext == "pdf", "application/pdf").when(ext == "docx", MEDIA[1]).when(ext.isin("png", "jpg", "jpeg", "webp"), F.concat(F.lit("image/"), ext))
     mime = mime.when(ext == "csv", "text/csv").when(ext == "md", "text/markdown").when(ext == "json", "application/json").when(ext == "txt", "text/plain").otherwise("")
     rows = files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), mime.alias("mime"), F.col("length").alias("size"), "content")
     readable = F.col("mime").startswith("text/") | (F.col("mime") == "application/json")
-    return rows.select("path", "filename", "mime", "size", F.when(readable, F.decode("content", "UTF-8")).alias("text"))
+    return rows.select("path", "filename", "mime", "size", "content", F.when(readable, F.decode("content", "UTF-8")).alias("text"))
 
 
 class _Markdown(HTMLParser):

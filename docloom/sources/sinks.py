@@ -64,3 +64,75 @@ def yaml_timeline(found: DataFrame, key: str) -> DataFrame:
     heads = found.groupBy(key).agg(head.alias("yaml"), first.alias("date"), F.min("doc_id").alias("doc_id"))
     heads = heads.select(key, F.lit(0).alias("section"), "date", "doc_id", F.lit(-1).alias("idx"), "yaml")
     return heads.unionByName(events)
+
+
+def yaml_parts(key: str, medications: DataFrame | None = None, trends: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """Further blocks of the YAML documents: key, section (2: current and 3: discontinued medications, 4: trends, 5: warnings), item and yaml.
+
+    medications: key, name, started, stopped (null: current), reason. trends: key, name, trend, date, value, flag. errors: key, tag, message,
+    suggestion, recoverable, impact. A block holds one entry; the first of its section starts with the section's name."""
+    scalar = lambda c: yaml_scalar(F.col(c).cast("string"))
+    line = lambda lead, col: F.concat(F.lit(lead), col.cast("string"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    out = []
+    if medications is not None:
+        state = F.when(F.col("stopped").isNull(), 2).otherwise(3)
+        entry = F.concat_ws("\n", line("    - name: ", scalar("name")), line("      started: ", day("started")), line("      stopped: ", day("stopped")), line("      reason: ", scalar("reason")))
+        out.append(medications.select(key, state.alias("section"), F.concat_ws("|", "name", day("started")).alias("item"), entry.alias("yaml")))
+    if trends is not None:
+        point = F.concat_ws("\n", line("      - date: ", day("date")), line("        value: ", F.col("value")), line("        flag: ", scalar("flag")))
+        points = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", point.alias("p")))), lambda s: s["p"]), "\n")
+        each = trends.groupBy(key, "name", "trend").agg(points.alias("points"))
+        entry = F.concat_ws("\n", line("  - name: ", scalar("name")), line("    trend: ", F.col("trend")), F.lit("    values:"), F.col("points"))
+        out.append(each.select(key, F.lit(4).alias("section"), F.col("name").alias("item"), entry.alias("yaml")))
+    if errors is not None:
+        entry = F.concat_ws("\n", line("  - type: ", F.col("tag")), line("    message: ", scalar("message")), line("    suggestion: ", scalar("suggestion")), line("    recoverable: ", F.col("recoverable")), line("    impact: ", F.col("impact")))
+        out.append(errors.select(key, F.lit(5).alias("section"), F.concat_ws("|", "tag", "message").alias("item"), entry.alias("yaml")))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    nth = F.row_number().over(Window.partitionBy(key, "section").orderBy("item", "yaml"))
+    both = F.min("section").over(Window.partitionBy(key, F.col("section").isin(2, 3)))
+    head = F.when(F.col("section") == 2, "\nmedications:\n  current:\n").when((F.col("section") == 3) & (F.col("lead") == 3), "\nmedications:\n  discontinued:\n").when(F.col("section") == 3, "  discontinued:\n")
+    head = head.when(F.col("section") == 4, "\nlabTrends:\n").otherwise("\nwarnings:\n")
+    rows = rows.withColumns({"nth": nth, "lead": both})
+    return rows.select(key, "section", F.col("nth").alias("item"), F.when(F.col("nth") == 1, F.concat(head, F.col("yaml"))).otherwise(F.col("yaml")).alias("yaml"))
+
+
+def yaml_metadata(events: Column, included: Column, original_kb: Column, compressed_kb: Column, as_of: str, deduplication: str = "aggressive") -> Column:
+    """The block of metadata: sizes, ratio (1 at most) and events of a compression."""
+    ratio = F.least(F.lit(1.0), F.coalesce(F.try_divide(compressed_kb, original_kb), F.lit(0.0)))
+    two = lambda c, n: F.format_string(f"%.{n}f", c.cast("double"))
+    part = lambda lead, col, tail="": F.concat(F.lit(lead), col.cast("string"), F.lit(tail))
+    return F.concat_ws(
+        "\n", F.lit(f'metadata:\n  generatedAt: {as_of}\n  version: "1.0.0"\n  schemaVersion: "1.0.0"\n\n  compression:'), part("    originalSizeKb: ", two(original_kb, 2)), part("    compressedSizeKb: ", two(compressed_kb, 2)),
+        part("    ratio: ", two(ratio * 100, 1), "%"), part("    eventsTotal: ", events), part("    eventsIncluded: ", included), part("    eventsRemoved: ", events - included), F.lit(f"    deduplication: {deduplication}"),
+    )
+
+
+def zipped(docs: DataFrame, name: str, per: int = 1000) -> DataFrame:
+    """archive and content: the Markdown (column markdown) of documents as files Scrubbed_<name>.md in ZIP archives of about `per` documents.
+
+    Files of one name in an archive are numbered. Archives are as many as the documents need; none holds them all."""
+    import io
+    import zipfile
+
+    n = max(1, -(-docs.count() // per))
+    rows = docs.where("markdown is not null").select(F.pmod(F.xxhash64(name, "markdown"), F.lit(n)).alias("archive"), F.col(name).cast("string").alias("name"), "markdown")
+
+    def pack(table):
+        import pyarrow as pa
+
+        out, met = io.BytesIO(), {}
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for title, said in sorted(zip(table.column("name").to_pylist(), table.column("markdown").to_pylist(), strict=True), key=lambda r: (r[0] or "", r[1])):
+                met[title] = met.get(title, 0) + 1
+                z.writestr(zipfile.ZipInfo(f"Scrubbed_{title}{f'_{met[title]}' if met[title] > 1 else ''}.md"), said)
+        return pa.table({"archive": pa.array([table.column("archive")[0].as_py()], pa.int64()), "content": pa.array([out.getvalue()], pa.binary())})
+
+    return rows.groupBy("archive").applyInArrow(pack, "archive bigint, content binary")
+
+
+def new_id() -> Column:
+    """A random identifier for each row; it changes when a row is computed again, so write it before it is used."""
+    return F.uuid()
