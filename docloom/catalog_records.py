@@ -24,7 +24,7 @@ CHART = [
     ["{9:1}. Chronic kidney disease N18.{6:0}", "2) Hypertension", "ok", "diagnosed with severe heart failure", "Stage III lung cancer", "NOTES AND PLAN:", "recurrent skin carcinoma of the arm"],
     ["Lisinopril {40:5} mg PO daily", "Metformin {900:100} mg PO BID", "continue atorvastatin at bedtime", "Amoxicillin {500:1} mg oral TID and warfarin 5 mg", "took Foobar 10 mg", "lorazepam 1 mg PRN"],
     ["WBC: {20:1}.5 K/uL", "Potassium {6:1}.2 mEq/L and Sodium {30:120} mmol/L", "Troponin <0.0{9:1} ng/mL", "Hemoglobin {14:6}.1 g/dL", "Glucose {300:40} mg/dL H", "HCT 3{10:0} % and PLT {400:90} K/uL", "HbA1c: {9:3}.1 %"],
-    ["BP: 1{90:10}/8{10:0} HR 7{10:0}", "Temp: 3{10:0}.5 C", "SpO2 9{10:0}% Pain: {12:0}/10", "Weight: 8{10:0} kg", "Temperature 9{10:0}.8 RR {20:8}", "nothing to add"],
+    ["BP: 1{90:10}/8{10:0} HR 7{10:0}", "Temp: 3{10:0}.5 C", "SpO2 9{10:0}% Pain: {12:0}/10", "Weight: 8{10:0} kg", "Temperature 9{10:0}.8 RR {20:8}", "nothing to add", "MRI brain, US of liver used", "IMPRESSION: {30:1} mm nodule"],
     ["BUN {40:2} mg/dL, Creatinine {4:0}.9 mg/dL", "ALT {90:5} U/L", "TSH {9:0}.3 mIU/L", "", "metformin 500 mg PO BID", "call 555-010-{9000:1000} or a{9:0}@b.org"],
 ]
 
@@ -272,7 +272,15 @@ def vitals(spark, sf_dir):
     return extraction.vitals(charts(spark, sf_dir))
 
 
-@query()
+_WHAT = fixed.IMAGING.removeprefix("(?i)" + chr(92) + "b")
+IMAGING_SQL = rf"""mo as (select doc_id, text, unnest(range(1, length(text) + 1)) i from n),
+mp as (select doc_id, text, i, regexp_extract(text[i:], {lit('(?i)^' + _WHAT)}, 0) hit from mo where regexp_matches(text[i:i + 12], {lit('(?i)^' + _WHAT)}) and (i = 1 or not regexp_matches(text[i - 1:i - 1], '[A-Za-z0-9_]'))),
+mq as (select *, text[greatest(1, i - 50):i + 99] near, strpos(text[i:], 'IMPRESSION') p, {case(fixed.MODALITIES, 'hit', 'UNKNOWN')} modality from mp),
+mr as (select *, coalesce(nullif(regexp_extract(near, {lit(fixed.IMAGED)}, 1), ''), 'unspecified') body_part, case when p between 1 and 500 then trim(string_split(text[i + p + 10:], chr(10) || chr(10))[1][:case when contains(text[i + p - 1:], chr(10) || chr(10)) then 100000 else 189 end], ' ' || chr(10)) else '' end said from mq)"""
+
+
+@query(f"""with {NOTES}, {IMAGING_SQL} select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int nth, modality, body_part, case when p between 1 and 500 then said else modality || ' ' || body_part || ' performed' end finding, nullif(said, '') impression,
+ regexp_matches(near, {lit(fixed.ABNORMAL)}) abnormal, (case when said <> '' then 0.8 else 0.5 end)::double confidence from mr""")
 def imaging(spark, sf_dir):
     return extraction.imaging(charts(spark, sf_dir))
 

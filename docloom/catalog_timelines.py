@@ -243,9 +243,21 @@ _values("pii_labelled_names", scrub.LABELLED, 3)
 _values("pii_titled_names", fixed.TITLED_NAME)
 
 
-@query()
+def _spans() -> str:
+    from docloom.catalog_records import CHART_SQL
+
+    each = [(k, fixed.PII[k], 0) for k in ("ADDRESS", "CITY_STATE", "PO_BOX")] + [("MRN", scrub.MRN, 2), ("NAME", scrub.LABELLED, 3)]
+    return f"with n as materialized {CHART_SQL} " + " union all ".join(f"select doc_id, {lit(k)} kind, unnest(regexp_extract_all(text, {lit(p)}, {g})) as value, true as there from n" for k, p, g in each)
+
+
+@query(_spans())
 def pii_spans(spark, sf_dir):
-    return scrub.spans(table(spark, sf_dir, "documents"))
+    """Spans in charts, and whether the text has the value at their places."""
+    from docloom.catalog_records import charts
+
+    docs = charts(spark, sf_dir)
+    found = scrub.spans(docs).join(docs, "doc_id")
+    return found.select("doc_id", "kind", "value", (F.expr("substring(text, start + 1, end - start)") == F.col("value")).alias("there"))
 
 
 @query()

@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.shared import write_shared as shared_table
+
 
 #: Vectors of a block and of a tile of the comparison of all pairs.
 BLOCK, TILE = 20_000, 2000
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the folder of spark.checkpoint.dir (one of the session's own where that is unset)."""
-    spark: SparkSession = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.docloom.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.docloom.dir", found)
-    path = f"{found.rstrip('/')}/docloom/tables-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_sets(docs: DataFrame, longer_than: int = 3) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > longer_than))
     return docs.where("text is not null").select("doc_id", words.alias("words")).withColumn("n", F.size("words")).where("n > 0")
@@ -125,16 +111,24 @@ def cosine_pairs(vectors: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and component (its smallest node) for each end of links (a, b)."""
-    both = shared_table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    """node and component (its smallest node) for each end of links (a, b), by labels that pass to neighbours and halve their paths.
+
+    Every round gives a node the smallest label among its own and its neighbours', then replaces labels
+    by the labels of those labels, so that long chains take few rounds. All of it are joins and
+    aggregations; each round is written to the shared folder and only a flag reaches the driver.
+    A self-link or a repeated link changes nothing; no links give an empty table.
+    """
+    each = links.where("a <> b").select("a", "b")
+    both = shared_table(each.union(each.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         best = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        best = shared_table(best.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")))
+        best = shared_table(best.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
+        done = best.where("was <> component").isEmpty()
         labels = best.select("node", "component")
-        if best.where("was <> component").isEmpty():
+        if done:
             return labels
 
 
