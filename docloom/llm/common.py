@@ -2,43 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.shared import new_path, write_shared  # noqa: F401  the operators take them from here
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Texts handled at once inside a Python task: this many characters or one text, whichever is more.
 SLICE_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is spark.checkpoint.dir where the session names one; only where that is unset (tests, a
-    laptop) a temporary folder is made and kept in the session's own setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.docloom.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.docloom.dir", found)
-    return found.rstrip("/")
-
-
-def write_shared(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, outlives executors. compression: Spark's choice if None."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(col) -> F.Column:
     """16 bytes that stand for a text; null counts as the empty text."""
     return F.unhex(F.md5(F.encode(F.coalesce(col, F.lit("")), "UTF-8")))

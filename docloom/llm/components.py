@@ -1,31 +1,13 @@
-"""Connected components of a table of links, by labels that pass to neighbours and halve their paths."""
+"""Connected components of texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import write_shared
+from docloom.operators import similarity
 
 
 def components(links: DataFrame) -> DataFrame:
-    """tid, comp for each end of links (a, b): comp is the smallest tid of its component.
-
-    Every round gives a node the smallest label among its own and its neighbours', then replaces labels
-    by the labels of those labels, so that long chains take few rounds. All of it are joins and
-    aggregations; each round is written to the shared folder and only a flag reaches the driver.
-    A self-link or a repeated link changes nothing; no links give an empty table.
-    """
-    both = links.where("a <> b").select("a", "b")
-    both = write_shared(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = write_shared(both.groupBy(F.col("a").alias("tid")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("tid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("tid")).agg(F.min("comp").alias("near"))
-        best = labels.join(near, "tid").select("tid", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        up = labels.select(F.col("tid").alias("comp"), F.col("comp").alias("above"))
-        best = best.join(up, "comp", "left").select("tid", "was", F.least("comp", F.coalesce("above", "comp")).alias("comp"))
-        best = write_shared(best, "labels")
-        done = best.where("was <> comp").isEmpty()
-        labels = best.select("tid", "comp")
-        if done:
-            return labels
+    """tid, comp for each end of links (a, b): comp is the smallest tid of its component. No links give an empty table."""
+    return similarity.components(links).select(F.col("node").alias("tid"), F.col("component").alias("comp"))

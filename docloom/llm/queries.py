@@ -68,4 +68,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_near_dedup, op2_toxicity, op3_lpt_shards, op4_line_chunks, op5_decontaminate, op6_bloom_lm, op7_packing, op8_license_scan, op9_warc, op10_audio)
 }
-ORACLES: dict[str, str] = {}
+#: Two of the operators can be told in SQL: every chunk of lines from and to each line, and what the archives give back.
+ORACLES: dict[str, str] = {
+    "op4_line_chunks": r"""
+with d as (select doc_id, text, string_split(text, chr(10)) ls from documents where text is not null and text <> ''),
+l as (select doc_id, unnest(range(0, len(ls)))::int i, unnest(ls) x from d),
+w as materialized (select *, sum(len(list_filter(string_split_regex(x, '\s+'), lambda v: v <> ''))) over (partition by doc_id order by i) upto, len(list_filter(string_split_regex(x, '\s+'), lambda v: v <> '')) n from l),
+c as (select a.doc_id, a.i s, min(b.i) e from w a join w b on a.doc_id = b.doc_id and b.i >= a.i and b.upto - a.upto + a.n >= 40 group by a.doc_id, a.i
+ union select b.doc_id, max(a.i), b.i from w a join w b on a.doc_id = b.doc_id and b.i >= a.i and b.upto - a.upto + a.n >= 40 group by b.doc_id, b.i),
+t as materialized (select c.doc_id, s, e, array_to_string(ls[s + 1:e + 1], chr(10)) chunk from c join d using (doc_id)),
+k as (select chunk, min((doc_id, s)) first from t group by chunk having count(*) > 1),
+g as (select distinct t.doc_id, unnest(range(s, e + 1)) i from t join k using (chunk) where (t.doc_id, s) <> first),
+r as (select w.doc_id, count(g.i) removed, string_agg(x, chr(10) order by w.i) filter (where g.i is null) kept from w left join g on g.doc_id = w.doc_id and g.i = w.i group by w.doc_id)
+select documents.doc_id, coalesce(removed, 0)::int removed_lines, case when coalesce(removed, 0) = 0 then text when regexp_matches(coalesce(kept, ''), '\S') then kept else '' end clean from documents left join r using (doc_id)""",
+    "op9_warc": """
+with p as (select page_id, encode(coalesce(html, '')) b, sha1(coalesce(html, '')) d from pages), q as (select *, octet_length(b) n, max(page_id) over (partition by d) last from p)
+select page_id, n::bigint payload_bytes, d payload_digest, case when n >= 1000 and page_id <> last then 'revisit' else 'response' end record_type, case when n >= 1000 and page_id <> last then last end refers_to, null::varchar problem from q""",
+}

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shared_dir, sift, slices, write_shared
+from docloom.llm.common import new_path, sift, slices, write_shared
 
 SEGMENT, CHUNK, FILE_RECORDS, REVISIT = 32_768, 4096, 1000, 1000
 END = "\r\n\r\n"
@@ -228,4 +228,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
     """Write pages to archives in the shared folder and read these back."""
     spark = pages.sparkSession
-    return read(spark, write(pages, key, payload, f"{shared_dir(spark)}/docloom/warc-{uuid.uuid4().hex}"))
+    return read(spark, write(pages, key, payload, new_path(spark, "warc")))
