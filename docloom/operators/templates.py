@@ -39,11 +39,16 @@ def ngrams(docs: DataFrame, low: int = 2, high: int = 5, least: int = 3) -> Data
     """Runs of low..high normalised lines in at least `least` documents: key, size, documents, average first line, example."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.lower(F.regexp_replace(text.trimmed(x), r"\s+", " ")))
     rows = docs.where("text is not null").select("doc_id", lines.alias("lines"))
+
     def runs(k: int):
         starts = F.when(F.size("lines") >= k, F.sequence(F.lit(0), F.size("lines") - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("size"), i.alias("at"), F.array_join(F.slice(F.col("lines"), i + 1, k), "\n").alias("content")))
 
-    each = rows.select("doc_id", F.explode(F.concat(*[runs(k) for k in range(low, high + 1)])).alias("g")).select("doc_id", "g.*")
-    each = each.where(F.length(F.regexp_replace("content", r"\s+", "")) >= 10)
-    first = each.groupBy(F.sha2("content", 256).alias("key"), "size", "doc_id").agg(F.min("at").alias("at"))
+        def one(i):
+            content = F.array_join(F.slice(F.col("lines"), i + 1, k), "\n")
+            return F.struct(F.lit(k).alias("size"), i.alias("at"), F.when(F.length(F.regexp_replace(content, r"\s+", "")) >= 10, F.sha2(content, 256)).alias("key"))
+
+        return F.transform(starts, one)
+
+    each = F.filter(F.concat(*[runs(k) for k in range(low, high + 1)]), lambda g: g["key"].isNotNull())  # hashed before they are dealt out
+    first = rows.select("doc_id", F.inline(each)).groupBy("key", "size", "doc_id").agg(F.min("at").alias("at"))
     return first.groupBy("key", "size").agg(F.count(F.lit(1)).alias("documents"), F.avg("at").alias("avg_line"), F.min("doc_id").alias("first_doc")).where(F.col("documents") >= least)
