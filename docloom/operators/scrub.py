@@ -41,7 +41,7 @@ _WORKER = [(c, n, p, text.python(x)) for c, n, p, x in fixed.WORKER]
 _CAPS, _HELD, _PAIR = text.python(fixed.ALL_CAPS), re.compile(r"\[[A-Z_]+\d+\]"), text.python(r"\b([A-Z]{2})\b")
 _WORKER_LABEL = text.python(r"(?i)(" + "|".join(sorted(fixed.WORKER_LABELS, key=len, reverse=True)) + r")\s*:\s*")
 _FORMS = [text.python(x) for x in fixed.LABELLED_FORMS]
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$")
+_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+$", re.A)
 ENTITIES = ("PER", "LOC", "ORG")
 #: Words of the entity type that a text holds, its start and end in the text, and how sure the recogniser is.
 Entity = tuple[str, int, int, float]
