@@ -32,8 +32,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{path}/table"
 
 
-def write_shared(df: DataFrame, name: str = "tables", compression: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, outlives executors. compression: Spark's choice if None."""
+def write_shared(df: DataFrame, name: str = "tables", compression: str | None = None, waves: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, outlives executors. compression: Spark's choice if None.
+
+    waves: the most files for each core of the cluster, where there would be one for each partition."""
     path = new_path(df.sparkSession, name)
+    if waves is not None:
+        df = df.coalesce(max(4, waves * df.sparkSession.sparkContext.defaultParallelism))
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -119,13 +119,13 @@ def components(links: DataFrame) -> DataFrame:
     A self-link or a repeated link changes nothing; no links give an empty table.
     """
     each = links.where("a <> b").select("a", "b")
-    both = shared_table(each.union(each.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    both = shared_table(each.union(each.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", waves=1)
+    labels = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", waves=1)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         best = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        best = shared_table(best.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
+        best = shared_table(best.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")), "labels", waves=1)
         done = best.where("was <> component").isEmpty()
         labels = best.select("node", "component")
         if done:
