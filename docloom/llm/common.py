@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words met last; the table is emptied when it is full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         import xxhash
 
         super().__init__()

@@ -109,22 +109,22 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tid (hash of the text), lines (numbers of the lines that go, from 0), for documents that lose any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
     rows = rows.withColumn("tid", F.xxhash64("text"))
-    each = write_shared(rows.select("doc_id", "tid", "text").mapInArrow(emit_chunks, "h bigint, doc_id bigint, tid bigint, s int, e int"), "chunks")
+    each = write_shared(rows.select("doc_id", "tid", "text").mapInArrow(emit_chunks, "h bigint, doc_id bigint, tid bigint, s int, e int"), "chunks", waves=4)
     place = F.struct("doc_id", "tid", "s")
     kept = each.groupBy("h").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("not keep <=> other").select("h", "keep")
-    found = write_shared(each.join(kept, "h").select("doc_id", "tid", "s", "e", "keep"), "repeated")
+    found = write_shared(each.join(kept, "h").select("doc_id", "tid", "s", "e", "keep"), "repeated", waves=1)
     first = F.expr("keep.doc_id <=> doc_id and keep.tid = tid and keep.s = s")
     gone = found.where(~first).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("s", "e", "keep")).alias("gone"))
     stay = found.where(first).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("s", "e")).alias("asked"))
     g, a = gone.alias("g"), stay.alias("a")
     asked = g.join(a, same("g", "a"), "full_outer").select(F.coalesce("g.doc_id", "a.doc_id").alias("doc_id"), F.coalesce("g.tid", "a.tid").alias("tid"), "gone", "asked")
-    asked = write_shared(asked, "asked")
+    asked = write_shared(asked, "asked", waves=1)
     near, _ = sift(rows, "tid", asked.select("tid"))
     texts = near.dropDuplicates(["doc_id", "tid"]) if has_repeats(rows.select("doc_id", "tid")) else near
     d, w = texts.alias("d"), asked.alias("w")
     lines = d.join(w, same("d", "w")).select("d.doc_id", "d.tid", "d.text", "w.gone", "w.asked")
     lines = write_shared(
-        lines.mapInArrow(emit_lines, "doc_id bigint, tid bigint, line int, bytes binary, gone boolean, k_doc bigint, k_tid bigint, k_line int"), "lines"
+        lines.mapInArrow(emit_lines, "doc_id bigint, tid bigint, line int, bytes binary, gone boolean, k_doc bigint, k_tid bigint, k_line int"), "lines", waves=4
     )
     x, y = lines.where("gone").alias("x"), lines.where("not gone").alias("y")
     equal = x.join(y, F.expr("x.k_doc <=> y.doc_id and x.k_tid = y.tid and x.k_line = y.line and x.bytes = y.bytes")).select("x.doc_id", "x.tid", "x.line")
@@ -139,7 +139,7 @@ def clean(docs: DataFrame, text: str = "clean", count: str = "removed_lines") ->
     """All rows of docs with two columns more: the text without repeated passages, and how many lines went."""
     if {text.lower(), count.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError(f"the table has a column {text} or {count}; choose other names")
-    gone = write_shared(removed_lines(docs), "removed")
+    gone = write_shared(removed_lines(docs), "removed", waves=1)
     tid = unused(docs, "tid")
     some, rest = sift(docs.withColumn(tid, F.xxhash64("text")), tid, gone.select("tid"))
     own = [F.col(f"`{c}`") for c in docs.columns]

@@ -38,11 +38,13 @@ WORDS = re.compile(r"\w+")
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 2
 #: Shingles from which the sketches of a text are made one by one, which bounds their memory.
-LONG = 50_000
+LONG = 10_000
 #: Shingles and texts of a block of a bucket.
-BLOCK, MEMBERS = 400_000, 1000
+BLOCK, MEMBERS = 200_000, 400
 #: A shingle in so many pairs of members is counted by a product of matrices, any other pair by pair, PAIRS at once.
-COMMON, PAIRS = 1024, 500_000
+COMMON, PAIRS = 1024, 250_000
+#: Places of a shingle in a text from which they are held as one number.
+MANY = 64
 
 _seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _seeds[::2], _seeds[1::2] | np.uint64(1)
@@ -162,18 +164,27 @@ def common_banded(a: np.ndarray, b: np.ndarray, width: int) -> int:
     few = common_few(a, b, min(width, max(8, int(0.017 * (len(a) * len(b)) ** 0.5))))  # costs no more than the table would
     if few is not None:
         return head + tail + few
-    where: dict[int, int] = {}
+    where: dict[int, list[int]] = {}
     for j, x in enumerate(b.tolist()):
-        where[x] = where.get(x, 0) | 1 << j
+        where.setdefault(x, []).append(j)
+    masks: dict[int, int] = {}  # of shingles with many places
     full = (1 << len(b)) - 1
     row, window = full, (1 << (2 * width + 1)) - 1
     for i, x in enumerate(a.tolist()):
-        hit = where.get(x)
+        places, hit = where.get(x, ()), 0
+        if len(places) > MANY:
+            if x not in masks:
+                bits = np.zeros(len(b), bool)
+                bits[places] = True
+                masks[x] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            hit = masks[x] & (window << (i - width) if i >= width else window >> (width - i))
+        else:
+            for j in places:
+                if abs(j - i) <= width:
+                    hit |= 1 << j
         if hit:
-            hit &= window << (i - width) if i >= width else window >> (width - i)
-            if hit:
-                u = row & hit
-                row = (row + u | row - u) & full
+            u = row & hit
+            row = (row + u | row - u) & full
     return head + tail + len(b) - row.bit_count()
 
 
@@ -228,11 +239,11 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     out = out.reshape(nx, ny)
     heavy = np.flatnonzero((bx > 0) & (by > 0) & ~light)
     place = np.full(len(ids), -1)
-    for k in range(0, len(heavy), 2048):
+    for k in range(0, len(heavy), 1024):
         place[:] = -1
-        place[heavy[k : k + 2048]] = np.arange(len(heavy[k : k + 2048]))
-        p = np.zeros((nx, 2048), np.float32)
-        q = np.zeros((ny, 2048), np.float32)
+        place[heavy[k : k + 1024]] = np.arange(len(heavy[k : k + 1024]))
+        p = np.zeros((nx, 1024), np.float32)
+        q = np.zeros((ny, 1024), np.float32)
         for table, part in ((p, slice(None, cut)), (q, slice(cut, None))):
             here = np.flatnonzero(place[at[part]] >= 0)
             table[owner[part][here], place[at[part]][here]] = 1
@@ -279,32 +290,32 @@ def linked(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, tid (key of the text), comp (smallest tid of its class)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", text_key(F.col("text")))
-    each = write_shared(rows.select("tid", "text").mapInArrow(sketch, "tid binary, n bigint, keys array<bigint>"), "omh-sketches")
+    each = write_shared(rows.select("tid", "text").mapInArrow(sketch, "tid binary, n bigint, keys array<bigint>"), "omh-sketches", waves=4)
     texts = each.groupBy("tid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    buckets = write_shared(bucketed(texts.where("n > 0").select("tid", "n", F.explode("keys").alias("key"))), "omh-buckets")
+    buckets = write_shared(bucketed(texts.where("n > 0").select("tid", "n", F.explode("keys").alias("key"))), "omh-buckets", waves=1)
     first = buckets.where("tid <> low").select(F.col("low").alias("a"), F.col("tid").alias("b"))
     first = first.union(buckets.where("tid <> low and tid <> high").select(F.col("tid").alias("a"), F.col("high").alias("b")))
-    first = write_shared(first.distinct(), "omh-pairs")
+    first = first.distinct()
     wanted = buckets.select("tid").distinct()
     short = F.xxhash64("tid")
     near, _ = sift(rows.select("tid", "text", short.alias("short")), "short", wanted.select(short))
     seqs = near.select("tid", "text").dropDuplicates(["tid"]).join(wanted, "tid", "left_semi")  # copies meet in their task first
-    seqs = write_shared(seqs.mapInArrow(sequences, "tid binary, seq binary"), "omh-sequences")
-    links = write_shared(linked(first, seqs), "omh-links")
+    seqs = write_shared(seqs.mapInArrow(sequences, "tid binary, seq binary"), "omh-sequences", waves=4)
+    links = write_shared(linked(first, seqs), "omh-links", waves=4)
     comps = components(links)
-    apart = write_shared(buckets.join(comps, "tid", "left").select("key", "tid", "n", F.coalesce("comp", "tid").alias("comp")), "omh-members")
+    apart = buckets.join(comps, "tid", "left").select("key", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
     parts = apart.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     main = F.max(F.struct("k", "n", "comp"))
     blocks = lambda k, n: F.greatest(F.ceil(n / BLOCK), F.ceil(k / MEMBERS), F.lit(1).cast("long"))
     mixed = parts.groupBy("key").agg(main.alias("main"), F.sum("k").alias("k"), F.sum("n").alias("n")).where("main.k < k")
     mixed = mixed.select("key", F.col("main.comp").alias("main"), blocks(F.col("k"), F.col("n")).alias("ys"), blocks(F.col("k") - F.col("main.k"), F.col("n") - F.col("main.n")).alias("xs"))
-    apart = apart.join(write_shared(mixed, "omh-mixed"), "key")
+    apart = apart.join(write_shared(mixed, "omh-mixed", waves=1), "key")
     block = lambda n: F.pmod(F.xxhash64("tid"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = apart.select("key", block("ys").alias("y"), each("xs").alias("x"), F.lit(False).alias("asks"), "tid", "comp")
     askers = apart.where("comp <> main").select("key", each("ys").alias("y"), block("xs").alias("x"), F.lit(True).alias("asks"), "tid", "comp")
-    dealt = write_shared(asked.unionByName(askers), "omh-asked").join(seqs, "tid")
-    more = write_shared(dealt.groupBy("key", "x", "y").applyInArrow(cross_links, "a binary, b binary"), "omh-links")
+    dealt = asked.unionByName(askers).join(seqs, "tid")
+    more = write_shared(dealt.groupBy("key", "x", "y").applyInArrow(cross_links, "a binary, b binary"), "omh-links", waves=4)
     if not more.isEmpty():
         comps = components(links.union(more))
     named = rows.select("doc_id", "tid").join(comps, "tid", "left")
@@ -314,16 +325,16 @@ def classes(docs: DataFrame) -> DataFrame:
 def bucketed(bands: DataFrame) -> DataFrame:
     """Members of the buckets that hold two texts or more, with the bucket's smallest and largest member."""
     ends = bands.groupBy("key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low < high")
-    return bands.join(write_shared(ends, "omh-ends"), "key")
+    return bands.join(write_shared(ends, "omh-ends", waves=1), "key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_rows (rows in the class), kept (this row's id is class_id)."""
-    found = write_shared(classes(docs), "omh-classes")
+    found = write_shared(classes(docs), "omh-classes", waves=1)
     empty = text_key(F.lit(""))
     found = found.withColumn("blank", F.col("tid") == empty)
     each = found.where("not blank").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    each = write_shared(each, "omh-sizes")  # so that the join can split a class with many rows
+    each = write_shared(each, "omh-sizes", waves=1)  # so that the join can split a class with many rows
     out = found.where("not blank").join(each, "comp").select("doc_id", "class_id", "class_rows")
     alone = found.where("blank").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"))
     return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
@@ -334,10 +345,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without text are in no class and all stay. Only rows that may go are shuffled."""
     found = classes(docs).where(F.col("tid") != text_key(F.lit(""))).groupBy("comp", "doc_id", "tid").agg(F.count(F.lit(1)).alias("copies"))
-    found = write_shared(found.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")), "omh-found")
-    least = write_shared(found.groupBy("comp").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1"), "omh-least")
+    found = write_shared(found.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")), "omh-found", waves=1)
+    least = write_shared(found.groupBy("comp").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1"), "omh-least", waves=1)
     gone = found.join(least, "comp", "left").select("doc_id", "tid", "copies", F.coalesce(F.col("place") != F.col("least"), F.lit(False)).alias("goes"))
-    touched = write_shared(gone.where("goes or copies > 1").select(F.col("doc_id").cast("long").alias("id"), "tid", "goes"), "omh-touched")
+    touched = write_shared(gone.where("goes or copies > 1").select(F.col("doc_id").cast("long").alias("id"), "tid", "goes"), "omh-touched", waves=1)
     tid, key = unused(docs, "tid"), unused(docs, "key")
     rows = docs.withColumn(tid, text_key(F.col("text"))).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), tid))
     some, rest = sift(rows, key, touched.select(F.xxhash64("id", "tid")))

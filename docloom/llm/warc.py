@@ -104,7 +104,7 @@ def write(pages: DataFrame, key: str, payload: str, path: str) -> str:
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = pages.select(F.col(key).cast("long").alias("key"), F.encode(F.col(payload), "UTF-8").alias("payload")).where(F.octet_length("payload") >= REVISIT)
     last = long.select("key", F.sha1("payload").alias("digest")).groupBy("digest").agg(F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    last = write_shared(last, "warc-last")
+    last = write_shared(last, "warc-last", waves=1)
     refers = F.when(F.col("last").isNotNull() & ~F.col("key").eqNullSafe(F.col("last")), F.col("last"))
     some, rest = sift(rows.withColumn("short", F.xxhash64("digest")), "short", last.select(F.xxhash64("digest")))  # the others' payloads are not shuffled
     rows = some.join(last, "digest", "left").select("key", "url", "payload", "digest", refers.alias("refers"))

@@ -72,6 +72,19 @@ def test_banded_alignment_equals_full_table():
         assert omh.common_banded(a, b, max(width, 14)) == t[-1, -1]
 
 
+def test_alignment_of_repetitive_texts(monkeypatch):
+    r = random.Random(8)
+    for many in (0, 3, 64):
+        monkeypatch.setattr(omh, "MANY", many)
+        for _ in range(60):
+            a, b = (np.array([r.randrange(4) for _ in range(r.randint(80, 120))], np.uint32) for _ in range(2))
+            t = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + (a[i] == b[j]))
+            assert omh.common_banded(a, b, 200) == t[-1, -1]
+
+
 def test_cross_links_join_blocks(spark):
     base = prose(9, 100).split()
     rows = [(i, " ".join(base[:-1] + [f"w{i}"])) for i in range(40)]
