@@ -33,6 +33,8 @@ from docloom.llm.common import WordHashes, keep_rows, shingles, slices
 WORDS = re.compile(r"\w+")
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 19, 5
 ITEMS, ITEM_BYTES = 4096, 16_000_000
+#: Words whose hashes a search keeps.
+HELD = 400_000
 _BITS = np.arange(64, dtype=np.uint64)
 #: First bit and width of each block.
 _PLACES = [(64 * b // BLOCKS, 64 * (b + 1) // BLOCKS - 64 * b // BLOCKS) for b in range(BLOCKS)]
@@ -115,7 +117,7 @@ def search(words: list[str], index: Index, hashes: WordHashes) -> dict[int, tupl
 
 def scan(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = shared.value, WordHashes()
+        index, hashes = shared.value, WordHashes(HELD)
         for batch in batches:
             texts = batch.column("text")
             ids = batch.column("doc_id")
