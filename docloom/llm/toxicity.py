@@ -6,11 +6,11 @@ if it repeats or separates, for none. A Viterbi search over this lattice finds t
 trigram model of the language's characters. The score is a logistic function of the evidence of the words of
 the raw and the restored text.
 
-The character model, the words' evidence and the logistic function are learned from at most SAMPLE
-labelled rows of the training folds, those with the smallest hashes; equal texts count once. Evidence are words
+The character model, the words' evidence and the logistic function are learned from all labelled rows of the
+training folds; equal texts count once, as toxic if a row of theirs is. Evidence are words
 and stems (the first 4, 5 or 6 letters of a word) that occur in one in a hundred toxic texts (three at least) and
 TIMES as often there as elsewhere, and of whose texts PURE are toxic; LEXICON of them at most. The character model is made of
-the 200,000 most frequent trigrams of the sample's words and those of the evidence. Texts are scored whole.
+the 200,000 most frequent trigrams of these rows' words and those of the evidence. Texts are scored whole.
 
 Defined results: null and empty texts have no words and get the score of no evidence. Without labelled rows of
 both kinds the score is the share of toxic rows, or 0. Rows repeat as they come. Only text is read for a score.
@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc_mod, keep_rows, slices, write_shared
+from docloom.llm.common import crc_mod, keep_rows, sift, slices, text_key, write_shared
 
-SAMPLE, LEXICON, THRESHOLD = 20_000, 2000, 0.3
+LEXICON, THRESHOLD = 2000, 0.3
 SUPPORT, TIMES, PURE, STEMS = 0.01, 20.0, 0.95, (6, 5, 4)
 #: Letters a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "o", "&": "a"}
@@ -134,7 +134,8 @@ class Verdicts(dict):
 
     def known(self, word: str) -> str | None:
         """The heaviest evidence that a word or its stem is."""
-        return max((k for k in features(word) if k in self.evidence), key=lambda k: (self.evidence[k], k), default=None)
+        found = [k for k in features(word) if k in self.evidence]
+        return max(found, key=lambda k: (self.evidence[k], k)) if found else None
 
     def __missing__(self, word: str) -> str | None:
         if len(self) >= self.most:
@@ -196,7 +197,11 @@ class Model:
         self.language, self.evidence, self.slope, self.base = language, evidence, slope, base
 
     def score(self, found: set[str]) -> float:
-        x = self.base + self.slope * sum(sorted(self.evidence[w] for w in found))
+        return self.of(sum(sorted(self.evidence[w] for w in found)))
+
+    def of(self, total: float) -> float:
+        """The score of evidence whose weights have this sum."""
+        x = self.base + self.slope * total
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
@@ -206,8 +211,11 @@ def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for lo, hi in slices(texts):
             counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
             for text, t in zip(texts.slice(lo, hi - lo).to_pylist(), toxic[lo:hi], strict=True):
-                counts[t].update({f for w in set(text.lower().split()) if (b := w.strip(EDGES)).isalpha() and len(b) <= 40 for f in features(b)})
-            words = sorted(counts[True].keys() | counts[False].keys())
+                found = {b for w in set(text.lower().split()) if (b := w.strip(EDGES)).isalpha() and len(b) <= 40}
+                counts[t].update(found)
+                for n in STEMS:
+                    counts[t].update({b[:n] + "*" for b in found if len(b) > n})
+            words = list(counts[True].keys() | counts[False].keys())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[True][w] for w in words], pa.int64()), pa.array([counts[False][w] for w in words], pa.int64())], ["word", "n1", "n0"])
 
 
@@ -226,44 +234,58 @@ def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def evidence(shared):
+    """The last column, text, becomes x, the sum of the weights of its evidence."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         language, weights = shared.value
         verdicts = Verdicts(language, weights)
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in slices(texts):
-                x = [sum(sorted(weights[w] for w in verdicts.of(t))) for t in texts.slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), pa.array(x, pa.float64())], ["toxic", "x"])
+                x = [sum(sorted(weights[w] for w in verdicts.of(t or ""))) for t in texts.slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), pa.array(x, pa.float64())], [*batch.schema.names[:-1], "x"])
 
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and base by Newton's method, with a weak pull to 0 that keeps separable rows finite."""
-    w = np.zeros(2)
-    a = np.stack([x, np.ones_like(x)], axis=1)
+def logistic(seen: DataFrame) -> tuple[float, float]:
+    """Slope and base by Newton's method, with a weak pull to 0 that keeps separable rows finite, from x and its toxic and other rows (n1, n0).
+
+    Only sums are collected; they are sums of decimals, which do not depend on the order of the rows."""
+    w, x, n = np.zeros(2), F.col("x"), F.col("n1") + F.col("n0")
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2), a.T @ (y - p) - 0.01 * w)
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x * float(w[0]) + float(w[1])))))
+        rest, bend = F.col("n1") - n * p, n * p * (1 - p)
+        g1, g0, h11, h10, h00 = map(float, seen.select(*[F.sum(c.cast("decimal(38,12)")) for c in (rest * x, rest, bend * x * x, bend * x, bend)]).first())
+        step = np.linalg.solve(np.array([[h11, h10], [h10, h00]]) + 0.01 * np.eye(2), np.array([g1, g0]) - 0.01 * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
     return max(float(w[0]), 0.0), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
-    spark = docs.sparkSession
+def training(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> tuple[DataFrame, DataFrame]:
+    """All labelled texts of the training folds, each text once: key, doc_id (the smallest) and toxic; toxic and text.
+
+    Texts are matched by their keys; only those rows are shuffled whole whose id is the smallest of a labelled text."""
     usable = labels.where("doc_id is not null and toxic is not null").where(crc_mod(F.col("doc_id"), folds) != held)
-    chosen = usable.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = write_shared(chosen, "sample", waves=1)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = write_shared(rows.dropDuplicates(["text"]), "training", waves=1)
+    usable = usable.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null").where(crc_mod(F.col("doc_id"), folds) != held)
+    chosen = rows.select("doc_id", text_key(F.col("text")).alias("key")).join(usable, "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    chosen = write_shared(chosen, "chosen")
+    some, _ = sift(rows.withColumn("short", F.xxhash64("doc_id")), "short", chosen.select(F.xxhash64("doc_id")))
+    found = some.withColumn("key", text_key(F.col("text"))).join(chosen, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    return chosen, write_shared(found.select("toxic", "text"), "training")
+
+
+def learn(rows: DataFrame) -> Model:
+    """Language and evidence from rows of toxic and text, each text once; the logistic function is still to be fitted if there are both kinds."""
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1 or not n0:
         return Model(Language({}), {}, 0.0, 500.0 if n1 else -500.0)
     words = rows.mapInArrow(distinct_words, "word string, n1 bigint, n0 bigint").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    words = write_shared(words, "evidence", waves=1)
+    words = write_shared(words, "evidence")
     weight = F.log((F.col("n1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n0 + 1.0))
     found = words.where(f"n1 >= {max(3, math.ceil(SUPPORT * n1))} and length(word) >= 3").withColumn("weight", weight).where(F.col("weight") >= math.log(TIMES)).where(f"n1 >= {PURE} * (n1 + n0)")
     weights = {r.word: r.weight for r in found.orderBy(F.desc(F.col("weight") * F.col("n1")), "word").limit(LEXICON).collect()}
@@ -283,30 +305,52 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sam
         of3[g[:2]] += c
         of2[g[1]] += c
     language.two, language.one, language.three_of, language.two_of, language.total = dict(two), dict(one), of3, of2, sum(one.values())
-    shared = spark.sparkContext.broadcast((language, weights))
-    seen = rows.mapInArrow(evidence(shared), "toxic boolean, x double").toPandas()
-    slope, base = logistic(seen["x"].to_numpy(float), seen["toxic"].to_numpy(float))
-    return Model(language, weights, slope, base)
+    return Model(language, weights, 1.0, 0.0)
 
 
-def scorer(shared):
+def fitted(model: Model, seen: DataFrame) -> Model:
+    """The model with the logistic function of rows of toxic and x; there are rows of both kinds."""
+    seen = write_shared(seen.groupBy("x").agg(F.count_if("toxic").alias("n1"), F.count_if(~F.col("toxic")).alias("n0")), "seen", waves=1)
+    return Model(model.language, model.evidence, *logistic(seen))
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Model:
+    _, rows = training(docs, labels, folds, held)
+    model = learn(rows)
+    if model.slope == 0:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast((model.language, model.evidence))
+    return fitted(model, rows.mapInArrow(evidence(shared), "toxic boolean, x double"))
+
+
+def scorer(model: Model):
+    """The last column, x, becomes the score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        verdicts = Verdicts(model.language, model.evidence)
         for batch in batches:
-            texts = batch.column("text")
-            scores = [model.score(verdicts.of(t.as_py() or "")) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+            out = pa.array([model.of(x) for x in batch.column("x").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], [*batch.schema.names[:-1], "score"])
 
     return run
 
 
 def scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row."""
-    model = model or train(docs, labels, folds, held)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "text")
-    out = rows.mapInArrow(scorer(shared), "doc_id bigint, held_out boolean, score double")
+    """doc_id, held_out, score, predicted of each row.
+
+    x is found once for each row; the logistic function is fitted on the x of the training texts' rows."""
+    chosen = None
+    if model is None:
+        chosen, rows = training(docs, labels, folds, held)
+        model = learn(rows)
+    shared = docs.sparkSession.sparkContext.broadcast((model.language, model.evidence))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), F.when(F.col("text").isNotNull(), text_key(F.col("text"))).alias("key"), "text")
+    out = rows.mapInArrow(evidence(shared), "doc_id bigint, held_out boolean, key binary, x double")
+    if chosen is not None and model.slope > 0:
+        out = write_shared(out, "evidence_sums")
+        known = out.where("not held_out").join(chosen, ["doc_id", "key"]).groupBy("key").agg(F.first("toxic").alias("toxic"), F.first("x").alias("x"))
+        model = fitted(model, known.select("toxic", "x"))
+    numbers = Model(Language({}), {}, model.slope, model.base)
+    out = out.select("doc_id", "held_out", "x").mapInArrow(scorer(numbers), "doc_id bigint, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

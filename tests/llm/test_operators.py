@@ -195,6 +195,30 @@ def test_toxicity(toxic_tables):
     assert 1000 not in kept and 2000 in kept
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    bad = [i % 50 == 0 for i in range(40_000)]  # 30,000 rows in the training folds; some texts repeat with another label
+    texts = [f"{i - (i % 1000 == 1)} {'idiot' if bad[i - (i % 1000 == 1)] or i % 9973 == 7 else 'hello'}" for i in range(len(bad))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(b)) for i, b in enumerate(bad)], "doc_id bigint, quality int, toxic int")
+    seen = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            seen[t] = seen.get(t, False) or bad[i]
+    n1, n0 = sum(seen.values()), len(seen) - sum(seen.values())
+    k1, k0 = (sum("idiot" in t for t, b in seen.items() if b == which) for which in (True, False))
+    assert n1 + n0 > 25_000 and k0 > 0
+    weight = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
+    model = toxicity.train(docs, labels)
+    assert model.evidence == pytest.approx({"idiot": weight, "idio*": weight}, abs=1e-12)
+    x, y, w = np.array([[weight * ("idiot" in t), 1.0] for t in seen]), np.array(list(seen.values()), float), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), x.T @ (y - p) - 0.01 * w)
+    assert (model.slope, model.base) == pytest.approx(tuple(w), abs=1e-6)
+    got, want = ([tuple(x) for x in toxicity.scores(docs, labels, model=m).orderBy("doc_id").collect()] for m in (None, model))
+    assert got == want and len(got) == len(bad)
+
+
 def test_toxicity_reads_long_disguises(spark, toxic_tables):
     docs, labels = toxic_tables
     hidden = [
