@@ -53,3 +53,28 @@ def test_stages_with_nulls_ties_and_clashing_names(spark):
             if name == "near_dedup" and most:
                 assert sorted((x.doc_id or 0, x.text is None) for x in got) == [(0, False), (1, True), (2, False), (3, False), (5, False), (5, False), (6, False)]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 9
+
+
+def test_stages_bound_the_bytes_of_arrow_batches(spark):
+    import pyarrow as pa
+
+    from docloom.llm.common import BATCH_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 9000, 1, 1).selectExpr("id", "repeat('x', 2000) as text")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, "/root/testdata/sf0.001")
+            got = texts.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+            assert sum(x.rows for x in got) == 9000 and max(x.bytes for x in got) <= BATCH_BYTES + 100_000, name
+            spark.conf.set(key, "1m")
+            corpus_pipeline.pack(spark, docs, "")
+            assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
