@@ -7,12 +7,13 @@ item within 19 bits of a window's fingerprint is found in some block. The items
 weighted-shingle similarity: sum of the smaller counts over sum of the larger ones, 0.8 or more.
 
 A window that reaches 0.8 shares at least 1.6 m / 1.8 of its m shingles with the item, so windows with
-fewer shingles that occur in any item are passed over before fingerprints are made; this loses nothing.
+fewer shingles that occur in any item of their size are passed over before fingerprints are made; this loses nothing.
+Items of other sizes do not count: else a passage of 59 words would give all its windows of 15 to 58 words too.
 
 Defined results: null and empty texts contain nothing; items of fewer than five words are not searched
 for, as they occur by chance; documents shorter than an item are one window. Repeated documents and
 items are all reported. Other columns are ignored. The benchmark is handled in blocks of at most
-ITEMS items and ITEM_BYTES bytes, which bounds what is broadcast (7.6 KB of index an item); leaks() reads the documents
+ITEMS items and ITEM_BYTES bytes, which bounds what is broadcast (9.6 KB of index an item of 15 to 59 words); leaks() reads the documents
 once for each block, remove_leaking() once in all, and neither shuffles them.
 """
 
@@ -56,7 +57,13 @@ class Index:
         self.items = [(i, len(w), shingles(hashes.array(w), SHINGLE)) for i, text in items if len(w := WORDS.findall((text or "").lower())) >= SHINGLE]
         self.counts = [Counter(s.tolist()) for _, _, s in self.items]
         self.sizes = sorted({n for _, n, _ in self.items})
-        self.known = np.unique(np.concatenate([s for _, _, s in self.items])) if self.items else np.empty(0, np.uint64)
+        joined = np.concatenate([np.empty(0, np.uint64), *(s for _, _, s in self.items)])
+        self.known = np.unique(joined)
+        # The sizes (by number) of the items in which known[j] occurs: held[starts[j] : starts[j + 1]].
+        size = np.searchsorted(self.sizes, np.array([n for _, n, _ in self.items], np.int64)).astype(np.int64)
+        pairs = np.unique(np.searchsorted(self.known, joined) * len(self.sizes) + np.repeat(size, np.array([len(s) for _, _, s in self.items], np.int64)))
+        self.starts = np.searchsorted(pairs, np.arange(len(self.known) + 1) * len(self.sizes)).astype(np.int32)
+        self.held = (pairs % max(1, len(self.sizes))).astype(np.int32)
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         self.prints = np.array([fingerprint(s) for _, _, s in self.items], np.uint64)
@@ -73,14 +80,24 @@ class Index:
         at = np.unique(np.concatenate(found))
         return at[np.bitwise_count(self.prints[at] ^ np.uint64(mark)) <= RADIUS].tolist()
 
-    def hits(self, seq: np.ndarray) -> np.ndarray:
-        """Whether each shingle occurs in some item."""
-        out = self.sieve[(seq & np.uint64((1 << 22) - 1)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        if len(at):
-            p = np.minimum(np.searchsorted(self.known, seq[at]), len(self.known) - 1)
-            out[at] = self.known[p] == seq[at]
-        return out
+    def hits(self, seq: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size whose items have shingles in seq: the size, and the places in seq of such shingles."""
+        at = np.flatnonzero(self.sieve[(seq & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        if not len(at):
+            return
+        p = np.minimum(np.searchsorted(self.known, seq[at]), len(self.known) - 1)
+        same = self.known[p] == seq[at]
+        at, (met, back) = at[same], np.unique(p[same], return_inverse=True)
+        of = [self.held[lo:hi] for lo, hi in zip(self.starts[met].tolist(), self.starts[met + 1].tolist(), strict=True)]
+        if not of:
+            return
+        which, of = np.repeat(np.arange(len(met)), [len(x) for x in of]), np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        ends = np.flatnonzero(np.diff(of[order], append=-1)) + 1
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            here = np.zeros(len(met), bool)
+            here[which[order[lo:hi]]] = True
+            yield self.sizes[of[order[lo]]], at[here[back]]
 
 
 def overlap(a: Counter, b: Counter) -> float:
@@ -92,16 +109,13 @@ def overlap(a: Counter, b: Counter) -> float:
 def search(words: list[str], index: Index, hashes: WordHashes) -> dict[int, tuple[float, int, int]]:
     """For each item (by number) that a text contains: similarity, first word and end of its best window."""
     seq = shingles(hashes.array(words), SHINGLE)
-    hit = index.hits(seq)
-    if not hit.any():
-        return {}
     best: dict[int, tuple[float, int, int]] = {}
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    for size in index.sizes:
+    for size, at in index.hits(seq):
         m = min(size, len(words)) - SHINGLE + 1
         need = SIMILARITY * (m + size - SHINGLE + 1) / (1 + SIMILARITY)
-        if m < 1 or m < need - 1e-9:
+        if m < 1 or min(m, len(at)) < need - 1e-9:
             continue
+        sums = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(seq)))])
         for p in np.flatnonzero(sums[m:] - sums[:-m] >= need - 1e-9).tolist():
             window = seq[p : p + m]
             counts = None

@@ -431,6 +431,18 @@ def test_decontamination_recall(size):
     assert asked >= 20 and found == asked
 
 
+def test_decontamination_windows_of_other_sizes(monkeypatch):
+    items = [(n, prose(3000 + n, n)) for n in range(15, 60)]
+    items.append((100, " ".join(items[-1][1].split()[20:40])))
+    index, hashes, made = decontaminate.Index(items), WordHashes(), []
+    plain = decontaminate.fingerprint
+    monkeypatch.setattr(decontaminate, "fingerprint", lambda seq: made.append(len(seq)) or plain(seq))
+    got = decontaminate.search(f"{prose(4000, 30)} {items[44][1]} {prose(4001, 30)}".split(), index, hashes)
+    assert {index.items[k][0]: v for k, v in got.items()} == {59: (1.0, 30, 89), 100: (1.0, 50, 70)}
+    # Of the windows that touch the passage, only those of the two sizes with at least 1.6 / 1.8 of their shingles in it.
+    assert sorted(made) == [16] * 3 + [55] * 13
+
+
 def test_decontamination_edges(spark, odd, none):
     bench = spark.createDataFrame([(1, "some words that do not occur there")], "item_id bigint, text string")
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0
