@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,24 @@ def test_yaml_scalars(spark):
     df = spark.createDataFrame([("plain",), ('a: "b"',), (None,)], "s string")
     assert [r.y for r in df.select(sinks.yaml_scalar(F.col("s")).alias("y")).collect()] == ["plain", '"a: \\"b\\""', None]
     assert spark.range(1).select(sinks.yaml_size(F.lit(3)).alias("n")).first().n == 1624
+
+
+def test_jaccard_pairs_compare_few(spark, monkeypatch):
+    """All pairs by brute force; of texts that share one rare word and little else none is compared."""
+    rng = random.Random(5)
+    vocabulary = [f"word{i:04d}" for i in range(3000)]
+    texts = [" ".join(rng.sample(vocabulary, rng.randint(20, 60))) for _ in range(120)]
+    texts += [f"shared{k // 60} " + " ".join(rng.sample(vocabulary, 40)) for k in range(120)]
+    for k in range(40):
+        words = texts[k * 5].split()
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += ["", "a b c", "seven words that make their only text match", "words seven that make their only text match", "lone", None]
+    sets = {i: {w for w in t.lower().split() if len(w) > 3} for i, t in enumerate(texts) if t}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x and len(x & y) / len(x | y) >= 0.85}
+    compared, alike = [], similarity.alike
+    monkeypatch.setattr(similarity, "alike", lambda pairs, *rest: compared.append(pairs.count()) or alike(pairs, *rest))
+    got = {(r.a, r.b): r.similarity for r in similarity.jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == want and len(want) > 20
+    assert compared[0] <= 2 * len(want)  # the prefix filter alone leaves the 3540 pairs that share a rare word
