@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import catalog
 from docloom.functions import errors, log, text
 from docloom.operators import corpus, extraction, labs, master, narrative, quality, reports, scrub, semantic, whitelist
 from docloom.plans import compression
@@ -456,3 +457,23 @@ def test_compression_plans(spark):
     t = compression.totals(compression.run(docs.where("false"))).first()
     assert (t.documents, t.ratio) == (0, 0.0)
     assert spark.range(1).select(compression.shown(F.lit(0.256)).alias("s")).first().s == "25.6%"
+
+
+def test_narratives_equal_sql_with_many_parts(spark, tmp_path):
+    """Keys of parts beyond a million do not change the order of an order's lines."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("create table lineitem as select * replace (l_partkey + l_linenumber % 3 * 1200000 as l_partkey) from '/root/testdata/sf0.001/lineitem.parquet'")
+    con.sql(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    for name in ("narratives", "narratives_brief"):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).select("doc_id", "narrative", "output_chars").collect()
+        want = con.sql(f"select doc_id, narrative, output_chars from ({catalog.ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
+
+
+@pytest.mark.parametrize("name", ["record_labs", "record_medications", "record_diagnoses", "record_active_diagnoses"])
+def test_records_are_computed_once(spark, name):
+    """No filter on a record's lists is computed from the charts again, and the charts are dealt out over the cores."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
+    assert "RepartitionByExpression" in plan
