@@ -477,3 +477,20 @@ def test_records_are_computed_once(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
     assert "RepartitionByExpression" in plan
+
+
+def test_same_event_is_found_in_blocks():
+    """The first number within nine bits equals that by brute force, over more prints than a block holds."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 32, 3000)
+    prints[100:200] = prints[:100]
+    number = rng.permutation(3000)
+    day = datetime.date(2024, 1, 1)
+    table = pa.table({
+        "document_type": ["x"] * 6000, "date": [day] * 6000, "simhash": np.concatenate([prints, prints]), "first": np.concatenate([number, number]), "own": [True] * 3000 + [False] * 3000,
+    })
+    got = master.same_event()(table).column("event_no").to_numpy()
+    near = np.bitwise_count((prints[:, None] ^ prints[None, :]).astype(np.uint32)) <= 9
+    assert (got == np.where(near, number, 9999).min(axis=1)).all()
